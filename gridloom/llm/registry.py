@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, simhash, urls
+from . import pieces, quality, secrets, simhash, tokens, urls, warc
 
 QUERIES = {
+    "op2_token_files": tokens.op2_token_files,
     "op3_simhash": simhash.op3_simhash,
+    "op5_warc": warc.op5_warc,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op10_url_filter": urls.op10_url_filter,
 }
 ORACLES = {
