@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import pieces, quality, secrets, simhash, tokens, urls, warc
+from . import pieces, quality, secrets, simhash, substrings, tokens, urls, warc
 
 QUERIES = {
     "op2_token_files": tokens.op2_token_files,
     "op3_simhash": simhash.op3_simhash,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_warc": warc.op5_warc,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_secret_scan": secrets.op7_secret_scan,
