@@ -179,3 +179,51 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = after
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+# --- words and bitmaps ---------------------------------------------------------------------------------------
+
+#: Bytes of words: letters, digits and everything beyond ASCII.
+WORD_BYTE = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
+_SEPARATE = b"\n"
+
+
+def lower_bytes(column: pa.Array) -> list[bytes]:
+    """The lower-cased texts of an Arrow string column as UTF-8; null becomes empty."""
+    import pyarrow.compute as pc
+
+    return byte_texts(pc.utf8_lower(column))
+
+
+def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts in a row, and the number of words of each text."""
+    buf = np.frombuffer(_SEPARATE + _SEPARATE.join(data) + _SEPARATE, np.uint8)
+    flag = WORD_BYTE[buf]
+    start, end = np.flatnonzero(~flag[:-1] & flag[1:]) + 1, np.flatnonzero(flag[:-1] & ~flag[1:]) + 1
+    hashes = mix(span_hashes(prefix_hashes(buf), start, end))
+    edges = np.cumsum([0, *[len(x) + 1 for x in data]])
+    return hashes, np.diff(np.searchsorted(start, edges + 1))
+
+
+#: Bits of a bitmap that goes to executors or to the driver, whatever the number of keys (1 MB).
+BITMAP = 1 << 23
+
+
+def bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter with two bits for each 64-bit key, as bytes. Of fixed size: only 64-bit words of it are collected."""
+    at = F.explode(F.array(F.col(key).bitwiseAND(F.lit(BITMAP - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(BITMAP - 1))))
+    bits = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    words = np.zeros(BITMAP >> 6, np.int64)
+    for word, bit in bits.groupBy("word").agg(F.bit_or("bit").alias("bit")).toLocalIterator():
+        words[word] = bit
+    return words.view(np.uint8)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the unsigned 64-bit keys may be in the bitmap."""
+    out = None
+    for at in (keys & U(BITMAP - 1), (keys >> U(32)) & U(BITMAP - 1)):
+        at = at.astype(np.int64)
+        hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        out = hit if out is None else out & hit
+    return out

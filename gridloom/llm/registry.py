@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pieces, quality, secrets, simhash, substrings, tokens, urls, warc
+from . import decontaminate, pieces, quality, secrets, simhash, substrings, tokens, urls, warc
 
 QUERIES = {
     "op2_token_files": tokens.op2_token_files,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": urls.op10_url_filter,
 }
 ORACLES = {
