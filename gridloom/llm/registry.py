@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, quality, secrets, simhash, substrings, tokens, urls, warc
+from . import decontaminate, lines, pieces, quality, secrets, simhash, substrings, tokens, urls, warc
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_token_files": tokens.op2_token_files,
     "op3_simhash": simhash.op3_simhash,
     "op4_substring_dedup": substrings.op4_substring_dedup,
