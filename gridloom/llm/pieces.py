@@ -87,7 +87,7 @@ class PieceModel:
         #: Ids whose text keeps a space at its start.
         self.bytes_of_byte = frozenset([*byte_ids, sp.unk_id()])
         self.sp = sp
-        self.cache: dict[str, tuple[bytes, int, bytes]] = {}
+        self.cache: dict[str, tuple[bytes, int, bytes, bytes]] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (or _NONE) and merged symbol of each pair."""
@@ -199,7 +199,7 @@ class PieceModel:
         return self.pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that the cache lacks: decimal ids, their number and the decoded bytes of each."""
+        """Encode the words that the cache lacks: decimal ids, their number, decoded bytes and ids as 32-bit integers."""
         if len(self.cache) + len(words) > CACHE:
             self.cache.clear()
         new = [w for w in words if w not in self.cache]
@@ -207,7 +207,7 @@ class PieceModel:
             part = new[i : i + 20_000]
             for w, symbols in zip(part, self.merge_words(part)):
                 ids = self.ids_of(symbols, w)
-                self.cache[w] = (" ".join(map(str, ids)).encode(), len(ids), b"".join([self.bytes_of[x] for x in ids]))
+                self.cache[w] = (" ".join(map(str, ids)).encode(), len(ids), b"".join([self.bytes_of[x] for x in ids]), np.array(ids, np.int32).tobytes())
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text, the end id last."""
@@ -262,14 +262,14 @@ def _mapped(docs: DataFrame, text: str, columns: dict[str, str], each, model: st
     return docs.mapInArrow(batches, schema)
 
 
-def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of each row, instead of its text. No shuffle.
+def digests(docs: DataFrame, model: str, text: str = "text", ids_column: str | None = None) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 of each row, instead of its text; and its ids if a column is named. No shuffle.
 
-    Both digests are joined from the words' stored parts, so no list of all ids is built.
+    All are joined from the words' stored parts, so no Python list of all ids is built.
     """
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256")]
-    schema = docs.select(*names, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+    names = [c for c in docs.columns if c not in (text, ids_column, "n_tokens", "ids_sha256", "decoded_sha256")]
+    schema = docs.select(*names, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"), *([F.lit(None).cast("array<int>").alias(ids_column)] if ids_column else [])).schema
 
     def batches(it):
         m = load(model)
@@ -284,7 +284,12 @@ def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 ids.append(hashlib.sha256(b" ".join([p[0] for p in parts] + [end])).hexdigest())
                 body = b"".join([p[2] for p in parts])
                 decoded.append(hashlib.sha256(body[1:]).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=schema.names)
+            columns = [*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            if ids_column:
+                last = np.array([m.end], np.int32).tobytes()
+                flat = np.frombuffer(b"".join([x for words in whole for x in (*[m.cache[w][3] for w in words], last)]), np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(batches, schema)
 

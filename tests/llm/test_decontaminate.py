@@ -19,9 +19,9 @@ def brute(docs, items):
             v = words(item)
             if len(v) < D.SPAN:
                 continue
-            for shift in range(-len(v), len(w)):
+            for shift in {a - b for a, x in enumerate(w) for b, y in enumerate(v) if x == y}:
                 same = [0 <= k + shift < len(w) and w[k + shift] == v[k] for k in range(len(v))]
-                if not any(all(p + o < len(v) and same[p + o] for o in s) for s in D.SEEDS for p in range(len(v))):
+                if sum(same) < 6 or not any(all(p + o < len(v) and same[p + o] for o in s) for s in D.SEEDS for p in range(len(v))):
                     continue
                 best = max((sum(1 if x else -D.MISMATCH for x in same[a:b]), b - a) for a in range(len(v)) for b in range(a + 1, len(v) + 1) if all(0 <= k + shift < len(w) for k in range(a, b)))
                 if best[1] >= min(D.LEAST, len(v)):
