@@ -34,7 +34,8 @@ from .common import U, by_size, byte_texts, materialize, mix, prefix_hashes, sma
 LENGTH = 200
 K = 64
 WINDOWS = LENGTH - K + 1
-MOST = 256
+#: (A group of so many runs is about 5 MB.)
+MOST = 16_384
 #: Distinct runs that a task sorts at once, besides the last group.
 _CHUNK = 8192
 _LOW = U(0xFFFFFFFF)
