@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _name in ("masks",):
+for _name in ("masks", "rules"):
     _module = import_module(f"{__name__}.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
