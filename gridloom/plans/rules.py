@@ -103,7 +103,7 @@ def d01_mosaic_last(spark, sf_dir):
 
 
 def g12_overview(spark, sf_dir):
-    return D.overview(scene(spark, sf_dir), 3, ["b1", "b7"]).withColumns({b: F.round(b, 3) for b in ("b1", "b7")})
+    return D.overview(scene(spark, sf_dir), 3, ["b1", "b4"]).withColumns({b: F.round(b, 3) for b in ("b1", "b4")})
 
 
 def n14_value_counts(spark, sf_dir):
@@ -134,6 +134,6 @@ ORACLES = {
     "m24_valid_fraction": oracle("SELECT round(avg(ok), 9) AS valid_fraction FROM (SELECT (NOT bool_or(q = -128))::INT AS ok FROM aef_q GROUP BY vec_id)", "aef_q"),
     "i_indices": oracle(f"SELECT px_row, px_col, {_INDEX} FROM scene", "scene"),
     "d01_mosaic_last": oracle("SELECT * FROM scene", "scene"),
-    "g12_overview": oracle("SELECT px_row // 8 AS px_row, px_col // 8 AS px_col, round(avg(b1), 3) AS b1, round(avg(b7), 3) AS b7 FROM scene GROUP BY 1, 2", "scene"),
+    "g12_overview": oracle("SELECT px_row // 8 AS px_row, px_col // 8 AS px_col, round(avg(b1), 3) AS b1, round(avg(b4), 3) AS b4 FROM scene GROUP BY 1, 2", "scene"),
     "n14_value_counts": oracle("SELECT b4, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 9) AS pct FROM scene GROUP BY b4", "scene"),
 }
