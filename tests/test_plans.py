@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -23,3 +23,12 @@ def test_matches_oracle(spark, name):
     for x, y in zip(a, b):
         for c, u, v in zip(cols, x, y):
             assert u == (pytest.approx(v, rel=1e-7, abs=1e-9) if isinstance(v, float) else v), (c, x, y)
+
+
+def test_group_kfold_is_the_greedy_one(spark):
+    rows = sorted((-r["n"], r["block"], r["fold"]) for r in catalog.QUERIES["c03_group_kfold"](spark, SF).collect())
+    load = [0] * 5
+    for n, _, fold in rows:
+        assert fold == load.index(min(load))
+        load[fold] -= n
+    assert sum(load) == catalog.QUERIES["c02_block_id"](spark, SF).count()
