@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .mask import index
+from .stats import normalise, seeded
+
 #: Codes of the label classes.
 CLASSES = {"low": 1, "medium": 2, "high": 3}
 CHIP = ("chip_row", "chip_col")
@@ -116,3 +119,52 @@ def regression_matrix(labels: DataFrame, rasters: list[DataFrame], variables: li
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows of each class."""
     return df.groupBy(label).agg(F.count("*").alias("n"))
+
+
+def valid_mask(bands="bands") -> Column:
+    """C17: whether a pixel has a value in all channels of its array; NULL where there is no array."""
+    return F.forall(bands, lambda x: x.isNotNull())
+
+
+def build_channels(px: DataFrame, zscore: DataFrame, terrain: list[str], robust: DataFrame | None = None, bands: list[str] = (), raw: list[str] = (), indices: dict | None = None, label: str = "label") -> DataFrame:
+    """Add ``bands``: z-scored terrain, robustly normalised bands, raw channels and indices, in this order.
+
+    Indices are of the raw bands. A pixel that lacks a channel loses the others and its label. The satellite
+    policy gives ``robust``, ``bands`` and ``indices``; the embedding policy gives ``raw`` and no ``robust``.
+    """
+    made = px.withColumns({n: index(a, b) for n, (a, b) in (indices or {}).items()})
+    made = normalise(made, zscore, terrain, "mean", "std")
+    if robust is not None:
+        made = normalise(made, robust, list(bands), "median", "iqr")
+    names = [*terrain, *bands, *raw, *(indices or {})]
+    return propagate_null(made, names, label).withColumn("bands", F.array(*names))
+
+
+def build_chips(px: DataFrame, kept: DataFrame, label: str = "label") -> DataFrame:
+    """One row for each kept chip: its labels and channel arrays in reading order. One shuffle, by chip."""
+    pixel = F.struct("px_row", "px_col", F.col(label).alias("label"), "bands")
+    chips = px.join(kept.select(*CHIP), list(CHIP), "left_semi").groupBy(*CHIP).agg(F.sort_array(F.collect_list(pixel)).alias("_px"))
+    return chips.select(*CHIP, F.col("_px.label").alias("labels"), F.col("_px.bands").alias("bands"))
+
+
+def transpose(grid) -> Column:
+    """An array of equally long arrays with both levels exchanged, so channels first becomes channels last and back."""
+    a = F.col(grid) if isinstance(grid, str) else grid
+    first = F.coalesce(F.size(F.get(a, F.lit(0))), F.lit(0))
+    return F.when(first > 0, F.transform(F.sequence(F.lit(0), first - 1), lambda i: F.transform(a, lambda row: F.get(row, i)))).when(a.isNotNull(), F.filter(a, lambda x: F.lit(False)))
+
+
+def pick_chip(chips: DataFrame, seed: int, keys: list[str]) -> DataFrame:
+    """One chip, the first by a seeded order of the keys; each task keeps one row."""
+    return chips.orderBy(seeded(seed, *keys), *keys).limit(1)
+
+
+def feature_names(catalog: DataFrame) -> DataFrame:
+    """R2: (ord, name, band, feature): the stem for a raster of one band, else stem_bNN."""
+    one = catalog.select("ord", "name", "n_bands", F.explode(F.sequence(F.lit(1), F.col("n_bands").cast("int"))).alias("band"))
+    return one.select("ord", "name", "band", F.when(F.col("n_bands") == 1, F.col("name")).otherwise(F.format_string("%s_b%02d", "name", "band")).alias("feature"))
+
+
+def cap(df: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
+    """N rows at most, the first by a seeded order of the keys."""
+    return df.orderBy(seeded(seed, *keys), *keys).limit(n)

@@ -16,6 +16,21 @@ def mosaic_last(px: DataFrame, order: list[str], values: list[str], keys=("px_ro
     return best.select(*keys, *[F.col("_v")[v].alias(v) for v in values])
 
 
+def mosaic_by(px: DataFrame, by: str, order: list[str], values: list[str], valid: str = "b1") -> DataFrame:
+    """A last-wins mosaic for each variable or folder, all in one aggregation."""
+    return mosaic_last(px, order, values, (by, "px_row", "px_col"), valid)
+
+
+def stack(px: DataFrame, source: str, sources: list, value: str, separate: bool = True, keys=("px_row", "px_col")) -> DataFrame:
+    """One band a source (``v_<source>``, NULL where it has no pixel), or all sources' pixels below each other.
+
+    The list of sources is given, so that no job looks for them. Of several values of a source at a pixel the largest stays.
+    """
+    if not separate:
+        return px.where(F.col(source).isin(*sources)).select(*keys, source, value)
+    return px.groupBy(*keys).agg(*[F.max(F.when(F.col(source) == s, F.col(value))).alias(f"v_{s}") for s in sources])
+
+
 def overview(px: DataFrame, level: int, bands: list[str]) -> DataFrame:
     """Averages over squares of 2^level pixels."""
     size = 1 << level

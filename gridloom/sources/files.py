@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,86 @@ def mosaic_sources(catalog: DataFrame, existing: DataFrame, key: str) -> DataFra
 def lookup(px: DataFrame, table: DataFrame, key: str, value: str, default) -> DataFrame:
     """A value by key from a dimension table, with a default; the planner broadcasts the table if it is small."""
     return px.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path that nothing has used yet below the shared folder that the session names."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_POINTS = "array<array<array<double>>>"
+
+
+def write_polygons(polys: DataFrame, path: str, crs: str) -> None:
+    """GeoJSON, one feature a line: the rings' points as coordinates, other columns as properties."""
+    points = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    geometry = F.struct(F.lit("Polygon").alias("type"), points.alias("coordinates"))
+    named = F.struct(F.struct(F.lit(crs).alias("name")).alias("properties"))
+    polys.select(F.lit("Feature").alias("type"), F.struct(*[c for c in polys.columns if c != "rings"]).alias("properties"), geometry.alias("geometry"), named.alias("crs")).write.json(path)
+
+
+def read_polygons(spark: SparkSession, path: str, properties: str, crs: str) -> DataFrame:
+    """Properties (given as a schema), rings and crs_ok of GeoJSON lines.
+
+    Polygons and multipolygons are read; their rings are all in one list, as the even-odd rule needs. Another or
+    no geometry, an unreadable line, and coordinates of fewer than two numbers give NULL rings. crs_ok is
+    whether the feature's named CRS is the expected one, which one without a name is.
+    """
+    schema = f"properties struct<{properties}>, geometry struct<type: string, coordinates: string>, crs struct<properties: struct<name: string>>"
+    lines = spark.read.schema(schema).json(path)
+    one = F.from_json("geometry.coordinates", _POINTS)
+    many = F.flatten(F.from_json("geometry.coordinates", f"array<{_POINTS}>"))
+    rings = F.when(F.col("geometry.type") == "Polygon", one).when(F.col("geometry.type") == "MultiPolygon", many)
+    whole = F.forall(rings, lambda ring: F.forall(ring, lambda p: F.size(p) >= 2))
+    points = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
+    code = F.regexp_extract("crs.properties.name", "([0-9]+)$", 1)
+    return lines.select("properties.*", F.when(whole, points).alias("rings"), F.coalesce(code == crs.split(":")[-1], F.lit(True)).alias("crs_ok"))
+
+
+def write_chips(chips: DataFrame, path: str) -> None:
+    """A chip store, one row a chip."""
+    chips.write.parquet(path)
+
+
+def read_npy_dir(spark: SparkSession, path: str) -> DataFrame:
+    """Name, shape and values (in C order) of the .npy files below a folder; error, and no values, for an unreadable one."""
+    import numpy as np
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+
+    def rows(it):
+        for pdf in it:
+            out = {"name": [], "shape": [], "values": [], "error": []}
+            for name, raw in zip(pdf["path"], pdf["content"]):
+                try:
+                    a, error = np.load(io.BytesIO(raw), allow_pickle=False), None
+                    shape, values = list(a.shape), a.astype("float64").ravel()
+                except (ValueError, EOFError, TypeError) as e:
+                    shape, values, error = None, None, str(e)
+                for k, v in zip(out, (name.rsplit("/", 1)[1].removesuffix(".npy"), shape, values, error)):
+                    out[k].append(v)
+            yield type(pdf)(out)
+
+    return files.mapInPandas(rows, "name string, shape array<int>, values array<double>, error string")
+
+
+def write_metadata(table: DataFrame, path: str) -> None:
+    """Chip metadata or a channel map as CSV with a header."""
+    table.write.option("header", True).csv(path)
+
+
+def read_metadata(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table again, with its schema."""
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def write_matrix(matrix: DataFrame, path: str, about: dict[str, str]) -> None:
+    """A regression matrix with what is told about it (CRS, source, window size) as constant columns."""
+    matrix.withColumns({f"meta_{k}": F.lit(v) for k, v in about.items()}).write.parquet(path)
+
+
+def band_names(px: DataFrame, rasters: DataFrame, key: str, band: str = "band") -> DataFrame:
+    """band_name of each row by raster and band number (from 1); NULL where the raster names fewer bands."""
+    named = px.join(rasters.select(key, "band_names"), key, "left")
+    return named.withColumn("band_name", F.get("band_names", F.col(band).cast("int") - 1)).drop("band_names")
