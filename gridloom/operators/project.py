@@ -84,13 +84,18 @@ def steps(src: str, dst: str) -> list[Step]:
 
 
 def to_crs_points(points: DataFrame, src: str, dst: str, x: str = "x", y: str = "y") -> DataFrame:
-    """Points with their coordinates in another CRS."""
+    """Points with their coordinates (the last columns) in another CRS.
+
+    They come out of a generator, which filters on them can't be pushed through: pushed down, such a filter would
+    hold all steps in one expression.
+    """
     if src == dst:
         return points
     out = points.withColumns({"_p_x": F.col(x), "_p_y": F.col(y)})
     for step in steps(src, dst):
         out = out.withColumns({f"_p_{k}": c for k, c in step(lambda k: F.col(f"_p_{k}")).items()})
-    return out.withColumns({x: F.col("_p_x"), y: F.col("_p_y")}).drop(*[f"_p_{k}" for k in ("x", "y", "u", "v", "t", "lam")])
+    made = F.struct(F.col("_p_x").alias(x), F.col("_p_y").alias(y))
+    return out.select(*[c for c in points.columns if c not in (x, y)], F.inline(F.array(made)))
 
 
 def to_crs(polys: DataFrame, src: str, dst: str, rings: str = "rings") -> DataFrame:
