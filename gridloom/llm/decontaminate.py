@@ -2,9 +2,14 @@
 
 A seed hash covers fixed positions of a span of words and ignores the others, so a substituted word at an
 ignored position doesn't hide a passage. The hashes of benchmark items are joined with those of documents;
-around each hit, item and document are laid side by side at the hit's offset, and the stretch with the best
-score (a match counts 1, a mismatch -4, so at least 0.8 of its words match) is the verified overlap. A
-document is contaminated by an item if that stretch has ``LEAST`` words or all of a shorter item's.
+around each hit, item and document are laid side by side at the hit's offset. A document is contaminated by
+an item if some stretch there of ``LEAST`` words or more, or all of a shorter item, has at least 0.8 matching
+words. The stretch with the best score (a match counts 1, a mismatch -4) is reported if it is that long, and
+the longest that qualifies otherwise.
+
+No such stretch of substitutions escapes the seeds: one of 24 words or more has a half that qualifies, and a
+shorter one starts with 12 words of which at most 2 differ, 15 of which 3 do, or 20 of which 4 do; ``SEEDS``
+hit all of these. ``SHORT`` hit all items of 6 to 11 words of which 0.8 match.
 
 Documents pass a bitmap of the item hashes first (1 MB, whatever the benchmark's size); only documents with a
 possible hit leave the first pass, with the hashes of their words. A benchmark too large for the bitmap lets
@@ -12,7 +17,7 @@ more documents pass, and the joins decide as before. An item that very many docu
 left side of an equi-join, which adaptive execution splits.
 
 Words are lower-case runs of letters and digits. Defined results: null and empty texts and items match
-nothing; items of fewer words than a seed's span can't be told from common phrases and match nothing;
+nothing; items of fewer than ``SPAN`` words can't be told from common phrases and match nothing;
 repeated rows are reported each; empty tables give an empty result; helper columns start with ``_c``.
 """
 
@@ -25,24 +30,27 @@ from pyspark.sql import functions as F
 
 from .common import U, bitmap, by_size, lower_bytes, materialize, mix, passes, small_batches, with_row_id, word_hashes
 
-#: Positions that each seed covers; together they find every overlap of 12 words with two substitutions.
-SEEDS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 5, 6, 7), (0, 1, 2, 6, 8, 9))
-SPAN = 10
+#: Positions that each seed covers; together they hit every stretch of 12 words with 2 substitutions, 15 with 3 or 20 with 4.
+SEEDS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 5, 6, 7), (0, 1, 2, 6, 8, 9), (0, 1, 2, 4, 6, 7))
+#: The same for items below ``LEAST`` words: 6 to 9 words with one substitution, 10 or 11 with 2.
+SHORT = ((0, 1, 2, 3, 4), (0, 2, 3, 4, 5), (0, 1, 3, 4, 5), (0, 1, 2, 4, 5), (0, 1, 2, 3, 5), (0, 1, 2, 3, 6))
+#: Words of the shortest item that is searched for.
+SPAN = 6
 LEAST = 12
 MISMATCH = 4
 _ODD = [U(x | 1) for x in np.random.default_rng(9).integers(0, 2**63, 16, dtype=np.int64).tolist()]
 
 
 def seed_hashes(words: np.ndarray, counts: np.ndarray):
-    """For each seed: (places, hashes) of all spans that lie within one text."""
+    """For each seed: (its number, places, hashes) of all spans that lie within one text."""
     ends = np.repeat(np.cumsum(counts), counts)
-    for number, seed in enumerate(SEEDS):
+    for number, seed in enumerate(SEEDS + SHORT):
         n = max(0, len(words) - seed[-1])
         total = np.full(n, number + 1, U)
         for k, o in enumerate(seed):
             total = total + words[o : o + n] * _ODD[k]
         places = np.flatnonzero(np.arange(n) + seed[-1] < ends[:n])
-        yield places, mix(total[places])
+        yield number, places, mix(total[places])
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
@@ -56,7 +64,10 @@ def item_seeds(items: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(counts)), counts_all)
             begins = np.repeat(np.cumsum(counts_all) - counts_all, counts_all)
             item = batch.column("item").to_numpy()
-            for places, h in seed_hashes(words, counts_all):
+            short = np.repeat(counts_all < LEAST, counts_all)
+            for number, places, h in seed_hashes(words, counts_all):
+                mine = short[places] == (number >= len(SEEDS))
+                places, h = places[mine], h[mine]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(item[owner[places]]), pa.array(places - begins[places])], names=["h", "item", "at"])
 
     return items.mapInArrow(batches, "h long, item long, at long")
@@ -85,7 +96,7 @@ def possible(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 words, counts = word_hashes(data[a:b])
                 ends = np.cumsum(counts)
                 found: dict[int, list] = {}
-                for places, h in seed_hashes(words, counts):
+                for _, places, h in seed_hashes(words, counts):
                     for i in np.flatnonzero(passes(table, h)):
                         d = int(np.searchsorted(ends, places[i], "right"))
                         found.setdefault(d, []).append({"h": int(h[i].astype(np.int64)), "at": int(places[i] - ends[d] + counts[d])})
@@ -97,7 +108,10 @@ def possible(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int, int]:
-    """(first word in the document, in the item, words, matches) of the best stretch with item word j at document word j + shift."""
+    """(first word in the document, in the item, words, matches) of the best stretch with item word j at document word j + shift.
+
+    Where the stretch with the best score is too short, the longest with at least 0.8 matching words (the first of these).
+    """
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
     if a >= b:
         return 0, 0, 0, 0
@@ -106,6 +120,11 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, in
     gain = total - np.minimum.accumulate(total)
     stop = int(gain.argmax())
     start = int(stop - 1 - total[:stop][::-1].argmin()) if stop else 0
+    if stop - start < min(LEAST, len(item)):
+        begin = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+        size = np.arange(len(total)) - begin
+        stop = int(size.argmax())
+        start = int(begin[stop])
     return a + start + shift, a + start, stop - start, int(same[start:stop].sum())
 
 

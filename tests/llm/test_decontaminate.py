@@ -65,3 +65,41 @@ def test_query(spark):
     got = {(r.doc_id, r.item_id) for r in D.op9_decontaminate(spark, sf).collect()}
     want = {(i, j) for i, t in docs for j, b in items if b in (t or "")}
     assert want <= got and len(got) <= len(want) + 1
+
+
+def plain_overlap(w, v):
+    """Whether some stretch of 12 words or more, or all of a shorter item, has 0.8 matching words at some offset. No seeds, no scores."""
+    for shift in range(-len(v), len(w)):
+        same = [0 <= k + shift < len(w) and w[k + shift] == v[k] for k in range(len(v))]
+        inside = [0 <= k + shift < len(w) for k in range(len(v))]
+        for a in range(len(v)):
+            for b in range(a + min(12, len(v)), len(v) + 1):
+                if all(inside[a:b]) and 5 * sum(same[a:b]) >= 4 * (b - a):
+                    return True
+    return False
+
+
+def test_seeds_cover_the_shortest_stretches():
+    for seeds, cases in ((D.SEEDS, ((12, 2), (15, 3), (20, 4))), (D.SHORT, ((6, 1), (7, 1), (8, 1), (9, 1), (10, 2), (11, 2)))):
+        for n, m in cases:
+            for bad in combinations(range(n), m):
+                assert any(all(p + o not in bad for o in s) for s in seeds for p in range(n - s[-1])), (n, bad)
+
+
+def test_substitutions_end_to_end(spark):
+    rng = np.random.default_rng(5)
+    fresh = (f"u{i}" for i in range(10**6))
+    items = [(0, [next(fresh) for _ in range(30)])] + [(n, [next(fresh) for _ in range(n)]) for n in (6, 7, 9, 11, 12, 60)]
+    passages = [(items[0][1][9:21], bad) for m in (0, 1, 2, 3) for bad in combinations(range(12), m)][:150]
+    passages += [(items[0][1][5:20], tuple(rng.choice(15, 3, False))) for _ in range(30)] + [(items[0][1], tuple(rng.choice(30, 6, False))) for _ in range(30)]
+    passages += [(v, bad) for n, v in items[1:6] for m in (0, 1, 2) for bad in combinations(range(n), m)]
+    passages += [(items[6][1], tuple(range(k, 60, 5))) for k in range(5)]
+    docs = []
+    for i, (p, bad) in enumerate(passages):
+        text = [next(fresh) if k in bad else x for k, x in enumerate(p)]
+        docs.append((i, [next(fresh) for _ in range(4)] + text + [next(fresh) for _ in range(4)]))
+    want = {(i, j) for i, w in docs for j, v in items if set(w) & set(v) and plain_overlap(w, v)}
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(x)) for i, x in rows], f"{name} long, text string")
+    got = D.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 200
+    assert all(r.similarity >= 0.8 for r in got)
