@@ -12,6 +12,8 @@ two fingerprints within 2 bits have one in common that is at most 1 bit from eit
 each member's 65 such neighbours, tied to the group's least, has the same components. Work is thus
 in proportion to the number of fingerprints however dense they lie.
 
+``keep_one`` has no fingerprints: it links texts by an exact join on the Jaccard similarity of their shingles.
+
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like any
 other; a null doc_id takes part and never names a component unless it has no other; repeated rows come out
 as often as they come in; an empty table gives an empty result; helper columns start with ``_h``.
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, small_batches, with_row_id
+from .common import bitmap, connected_components, materialize, passes, small_batches, with_row_id
 
 SHINGLE = 3
 RADIUS = 2
 BLOCKS = 4
 PIVOTS = 16
 MOST = 64
+#: One row in so many is read for the shingles that come last in their order.
+SAMPLE = 8
 #: Shingles held as bits at once; texts may be of any length.
 _CHUNK = 1 << 15
 
@@ -130,16 +134,153 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return prints.join(groups, "_hfp").select(doc_id, F.lower(F.lpad(F.hex("_hfp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(data: bytes, k: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's k-word shingles, in order; a shorter text is one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    words = data.lower().split()
+    if len(words) <= k:
+        return np.array([xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
+    joined = b" ".join(words)
+    ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
+    starts = [0, *[e + 1 for e in ends[:-k]]]
+    return np.unique(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :])], np.uint64))
+
+
+def jaccard_least(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of hashes have a Jaccard similarity of 0.8 or more."""
+    if min(len(a), len(b)) * 5 < 4 * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def _common(rows: DataFrame, k: int) -> np.ndarray:
+    """A bitmap of shingles that many rows of a sample hold. It only orders shingles: any set gives the same pairs."""
+
+    def batches(it):
+        for batch in it:
+            for x in batch.column("_ht").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x or b"", k).view(np.int64))], names=["h"])
+
+    part = rows.where(F.pmod(F.xxhash64("_huid"), F.lit(SAMPLE)) == 0).select("_ht").mapInArrow(batches, "h long")
+    return bitmap(part.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MOST // SAMPLE).select("h"), "h")
+
+
+def _prefixes(rows: DataFrame, k: int) -> DataFrame:
+    """_hid, _huid, _hset (a hash of the set of shingles), _hn (its size), _hkeys, the set's prefix, and _hbits, its parity.
+
+    In one order of all shingles (common ones last, then by hash), sets with a Jaccard similarity of 0.8 or more share
+    one of their first n - ceil(0.8 n) + 1 shingles.
+    """
+    from xxhash import xxh64_intdigest
+
+    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, k).tobytes())
+
+    def batches(it):
+        table = np.frombuffer(shared.value, np.uint8)
+        for batch in it:
+            name, n, keys, bits = [], [], [], []
+            for x in batch.column("_ht").to_pylist():
+                s = shingles(x or b"", k)
+                late = passes(table, s)
+                name.append(int(np.uint64(xxh64_intdigest(s.tobytes(), 1)).astype(np.int64)))
+                n.append(len(s))
+                bits.append(parity(s))
+                keys.append(np.r_[s[~late], s[late]][: len(s) - -(-4 * len(s) // 5) + 1].view(np.int64))
+            out = [batch.column("_hid"), batch.column("_huid"), pa.array(name, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["_hid", "_huid", "_hset", "_hn", "_hkeys", "_hbits"])
+
+    return rows.mapInArrow(batches, rows.select("_hid", "_huid").withColumns({"_hset": F.lit(0).cast("long"), "_hn": F.lit(0).cast("long"), "_hkeys": F.array().cast("array<long>"), "_hbits": F.lit(b"")}).schema)
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """1024 bits, each telling whether it has an odd number of the hashes: two sets differ in as many hashes as bits, or more."""
+    bits = np.bincount((hashes & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(bits.astype(bool)).tobytes()
+
+
+def _possible(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and parities leave a Jaccard similarity of 0.8 possible: differing hashes up to a ninth of both sizes."""
+
+    def batches(it):
+        for batch in it:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 16) for c in ("x", "y"))
+            total = batch.column("p").to_numpy() + batch.column("q").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= total, pa.bool_()))
+
+    side = lambda name, n, bits: entries.select(F.col("_hset").alias(name), F.col("_hn").alias(n), F.col("_hbits").alias(bits))
+    both = pairs.join(side("a", "p", "x"), "a").join(side("b", "q", "y"), "b").where(5 * F.least("p", "q") >= 4 * F.greatest("p", "q"))
+    return both.select("a", "b", "p", "q", "x", "y").mapInArrow(batches, "a long, b long")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more. Sets are made for rows in a bitmap only."""
+    pairs = materialize(_possible(pairs, entries), "shingle-possible")
+    where = entries.join(pairs.select(F.col("a").alias("_hset")).union(pairs.select("b")).distinct(), "_hset", "left_semi").select("_hset", "_huid")
+    where = materialize(where.withColumn("_hmark", F.xxhash64("_huid")), "shingle-wanted")
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(where, "_hmark").tobytes())
+
+    def bodies(it):
+        table = np.frombuffer(shared.value, np.uint8)
+        for batch in it:
+            batch = batch.filter(pa.array(passes(table, batch.column("_hmark").to_numpy().view(np.uint64)), pa.bool_()))
+            sets = [shingles(x or b"", k).tobytes() for x in batch.column("_ht").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_huid"), pa.array(sets, pa.binary())], names=["_huid", "body"])
+
+    marked = rows.select("_huid", "_ht", F.xxhash64("_huid").alias("_hmark"))
+    sets = materialize(marked.mapInArrow(bodies, "_huid long, body binary").join(where, "_huid").select("_hset", "body"), "shingle-sets")
+
+    def batches(it):
+        for batch in it:
+            good = [jaccard_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("_hset").alias("a"), F.col("body").alias("x")), "a").join(sets.select(F.col("_hset").alias("b"), F.col("body").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(batches, "a long, b long"), "shingle-links")
+
+
+def shingle_links(rows: DataFrame, entries: DataFrame, k: int, most: int = 2) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of sets with a Jaccard similarity of 0.8 or more.
+
+    Sets that share a key of few meet in pairs. Those of a key of many are held against the least of them; only sets
+    that are in another component then meet the sets of the key outside their own component.
+    """
+    keys = entries.select("_hset", "_hn", F.explode("_hkeys").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("_hset").alias("hub")).where("m > 1")
+    shared = materialize(keys.join(sizes, "key"), "shingle-shared")
+    few, dense = shared.where(F.col("m") <= most), shared.where(F.col("m") > most)
+    a, b = few.select("key", F.col("_hset").alias("a"), F.col("_hn").alias("p")), few.select("key", F.col("_hset").alias("b"), F.col("_hn").alias("q"))
+    sized = lambda p, q: 5 * F.least(p, q) >= 4 * F.greatest(p, q)
+    pairs = a.join(b, "key").where("a < b").where(sized(F.col("p"), F.col("q"))).select("a", "b")
+    pairs = materialize(pairs.union(dense.where("hub <> _hset").select(F.col("hub").alias("a"), F.col("_hset").alias("b"))).distinct(), "shingle-pairs")
+    found = _verified(pairs, rows, entries, k)
+    part = materialize(connected_components(found), "shingle-parts")
+    of = lambda column, to: part.select(F.col("node").alias(column), F.col("component").alias(to))
+    dense = dense.join(of("_hset", "mine"), "_hset", "left").join(of("hub", "main"), "hub", "left")
+    dense = materialize(dense.select("key", "_hset", "_hn", F.coalesce("mine", "_hset").alias("mine"), F.coalesce("main", "hub").alias("main")), "shingle-dense")
+    out = dense.where("mine <> main").select("key", F.col("_hset").alias("a"), F.col("_hn").alias("p"), F.col("mine").alias("of_a"))
+    rest = out.join(dense.select("key", F.col("_hset").alias("b"), F.col("_hn").alias("q"), F.col("mine").alias("of_b")), "key")
+    rest = rest.where("of_a <> of_b").where(sized(F.col("p"), F.col("q"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "shingle-rest")
+    return found.union(_verified(rest, rows, entries, k))
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5) -> DataFrame:
-    """The rows of ``docs`` without those whose group has a row before them by doc_id (repeated ids: by place)."""
+    """The rows of ``docs`` without those whose group has a row before them by doc_id (repeated ids: by place).
+
+    Groups are linked by pairs whose k-word shingles have a Jaccard similarity of 0.8 or more; texts without words are alike.
+    """
+    small_batches(docs.sparkSession)
     rows = with_row_id(docs, "_huid")
-    prints = materialize(with_fingerprints(rows.select(F.col(doc_id).alias("_hid"), "_huid", F.col(text).alias("_ht")), "_ht", k), "simhash")
+    bodies = rows.select(F.col(doc_id).alias("_hid"), "_huid", F.col(text).cast("binary").alias("_ht"))
+    prints = materialize(_prefixes(bodies, k), "shingle-prints")
     first = F.min(F.struct(F.col("_hid").isNull(), "_hid", "_huid"))
-    best = prints.groupBy("_hfp").agg(first.alias("_hbest"))
-    best = materialize(best, "simhash-best")
-    linked = connected_components(links(best.select(F.col("_hfp").alias("fp"))))
-    linked = linked.select(F.col("node").alias("_hfp"), F.col("component").alias("_hgroup"))
-    kept = best.join(linked, "_hfp", "left").groupBy(F.coalesce("_hgroup", "_hfp")).agg(F.min("_hbest").alias("_hbest"))
+    best = materialize(prints.groupBy("_hset").agg(first.alias("_hbest")), "shingle-best")
+    entries = prints.join(best.select(F.col("_hbest._huid").alias("_huid")), "_huid", "left_semi").select("_hset", "_huid", "_hn", "_hkeys", "_hbits")
+    linked = connected_components(shingle_links(bodies.select("_huid", "_ht"), materialize(entries, "shingle-entries"), k))
+    linked = linked.select(F.col("node").alias("_hset"), F.col("component").alias("_hgroup"))
+    kept = best.join(linked, "_hset", "left").groupBy(F.coalesce("_hgroup", "_hset")).agg(F.min("_hbest").alias("_hbest"))
     return rows.join(kept.select(F.col("_hbest._huid").alias("_huid")), "_huid", "left_semi").drop("_huid")
 
 

@@ -82,3 +82,50 @@ def test_odd_rows(spark, odd_docs):
     assert kept.where("doc_id = 3").count() == 1 and kept.where(F.col("text").isNull() | (F.trim("text") == "")).count() == 1
     empty = odd_docs.limit(0)
     assert S.near_duplicates(empty).count() == 0 and S.keep_one(empty).count() == 0
+
+
+def word_sets(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def brute_first(docs):
+    """The ids that stay when texts with a Jaccard similarity of 0.8 or more are linked; no fingerprints."""
+    sets = [word_sets(t) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    best = {}
+    for i, (x, _) in enumerate(docs):
+        best[root(i)] = min(best.get(root(i), x), x)
+    return set(best.values())
+
+
+@pytest.mark.parametrize("most", [1, 64])
+def test_keep_one_against_plain_jaccard(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "MOST", most)
+    monkeypatch.setattr(S.shingle_links, "__defaults__", (most,))
+    rng = np.random.default_rng(6)
+    vocab = [f"w{i}" for i in range(2000)]
+    docs = []
+    for n in (4, 30, 200, 1000):
+        for _ in range(3):
+            base, notice = list(rng.choice(vocab, n)), ["all", "rights", "of", "this", "text", "are", "held", "by", "its", "owner"]
+            for changed in (0, 0, n // 200, n // 100, n // 60, n // 40, n // 30, n // 20):
+                words = list(base)
+                for p in rng.choice(n, changed, replace=False):
+                    words[p] = "sub" + str(rng.integers(10**6))
+                docs.append((len(docs), " ".join(words + notice * (n > 20))))
+    order = rng.permutation(len(docs)).tolist()
+    docs = [(order[i], t) for i, t in docs]
+    got = {r.doc_id for r in S.keep_one(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == brute_first(docs) and len(docs) - len(got) > 25
