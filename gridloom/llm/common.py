@@ -57,6 +57,11 @@ def with_row_id(df: DataFrame, name: str = "_uid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame, name: str = "_uid") -> DataFrame:
+    """The rows with numbers, stored with them in the shared folder: later reads see the same numbers whatever has become of ``df`` or the executors."""
+    return materialize(with_row_id(df, name), "rows")
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
