@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .grid import Grid, chip_bounds
 from .mask import index
 from .stats import normalise, seeded
 
@@ -55,20 +56,26 @@ def chip_counts(px: DataFrame, bands, land: str = "land", label: str = "label")
     return px.groupBy(*CHIP).agg(*out, *[F.count_if(whole & (F.col(label) == c)).alias(f"n_label_{n}") for n, c in CLASSES.items()])
 
 
+def chip_cells(px: DataFrame, size: int) -> DataFrame:
+    """Each pixel's chip, partial chips at the edges included, for the ledger."""
+    return px.withColumns({"chip_row": F.floor(F.col("px_row") / size).cast("bigint"), "chip_col": F.floor(F.col("px_col") / size).cast("bigint")})
+
+
 def chip_reason(size: int, ratio: float = 0.15, land: int = 50) -> Column:
-    """Created, or the first rule that a chip fails."""
+    """Created, or the first rule that a chip fails; edge for a chip with fewer pixels than size x size."""
     share = F.col("n_labelled") / (size * size)
-    return F.when(F.col("n_labelled") == 0, "no_label").when(share < ratio, "ratio").when(F.col("n_land") < land, "land").when(F.col("n_valid_pixels") == 0, "invalid").otherwise("created")
+    return F.when(F.col("n_pixels") < size * size, "edge").when(F.col("n_labelled") == 0, "no_label").when(share < ratio, "ratio").when(F.col("n_land") < land, "land").when(F.col("n_valid_pixels") == 0, "invalid").otherwise("created")
 
 
-def chip_metadata(counts: DataFrame, size: int, ratio: float = 0.15, land: int = 50) -> DataFrame:
-    """The kept chips with sequential names in reading order and their counts.
+def chip_metadata(counts: DataFrame, size: int, grid: Grid, ratio: float = 0.15, land: int = 50) -> DataFrame:
+    """The kept chips with sequential names in reading order, their place, box and centre in the grid, and their counts.
 
     Names need one order over all chips: a window over a few numbers a chip, not over pixels.
     """
     kept = counts.where(chip_reason(size, ratio, land) == "created")
     number = F.row_number().over(Window.orderBy(*CHIP)) - 1
-    return kept.select(F.format_string("tile_%06d", number).alias("tile_id"), (F.col("chip_col") * size).alias("pixel_col"), (F.col("chip_row") * size).alias("pixel_row"), "n_valid_pixels", (F.col("n_labelled") / (size * size)).alias("label_ratio"), *[f"n_label_{n}" for n in CLASSES])
+    kept = chip_bounds(kept, grid, size)
+    return kept.select(F.format_string("tile_%06d", number).alias("tile_id"), "xmin", "ymin", "xmax", "ymax", "center_x", "center_y", (F.col("chip_col") * size).alias("pixel_col"), (F.col("chip_row") * size).alias("pixel_row"), "n_valid_pixels", (F.col("n_labelled") / (size * size)).alias("label_ratio"), *[f"n_label_{n}" for n in CLASSES])
 
 
 def class_pixel_counts(px: DataFrame, label: str = "label") -> DataFrame:
@@ -76,10 +83,10 @@ def class_pixel_counts(px: DataFrame, label: str = "label") -> DataFrame:
     return px.where(F.col(label) > 0).rollup(label).agg(F.count("*").alias("n"))
 
 
-def channel_map(catalog: DataFrame) -> DataFrame:
-    """One row for each band of each predictor, numbered from 0 by (ord, band); the catalog has ord, name, n_bands."""
-    one = catalog.select("ord", "name", F.explode(F.sequence(F.lit(1), F.col("n_bands").cast("int"))).alias("band"))
-    return one.select((F.row_number().over(Window.orderBy("ord", "band")) - 1).alias("channel_idx"), F.col("name").alias("predictor"), "band")
+def channel_map(catalog: DataFrame, keep=()) -> DataFrame:
+    """One row for each band of each predictor, numbered from 0 by (ord, band); the catalog has ord, name, n_bands and ``keep`` (file, group, normalised)."""
+    one = catalog.select("ord", "name", *keep, F.explode(F.sequence(F.lit(1), F.col("n_bands").cast("int"))).alias("band"))
+    return one.select((F.row_number().over(Window.orderBy("ord", "band")) - 1).alias("channel_idx"), F.col("name").alias("predictor"), "band", *keep)
 
 
 def resolve_channels(channels: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -89,9 +96,19 @@ def resolve_channels(channels: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("name", F.coalesce("_c", F.array().cast("array<int>")).alias("channels"))
 
 
+def require_channels(resolved: DataFrame, single: bool = False, told: int = 20) -> DataFrame:
+    """The resolved names, or ValueError with the first ``told`` that have no channel (or, if ``single``, not just one)."""
+    n = F.size("channels")
+    bad = [r["name"] for r in resolved.where((n != 1) if single else (n == 0)).select("name").orderBy("name").limit(told).collect()]
+    if bad:
+        raise ValueError(f"predictors without {'just one' if single else 'a'} channel: {', '.join(map(str, bad))}")
+    return resolved
+
+
 def drop_channels(bands="bands", drop=()) -> Column:
     """An array of bands without those at the given places."""
-    return F.filter(F.col(bands), lambda x, i: ~i.isin(*drop)) if drop else F.col(bands)
+    bands = F.col(bands) if isinstance(bands, str) else bands
+    return F.filter(bands, lambda x, i: ~i.isin(*drop)) if drop else bands
 
 
 def categorical(v, top: int) -> Column:
@@ -107,6 +124,20 @@ def audit(px: DataFrame, bands, limit: float = 1.0) -> DataFrame:
     return per.withColumn("passed", F.col("pct_out") < 1)
 
 
+def audit_chips(chips: DataFrame, names: list[str], keys: list[str], share: float = 0.25, seed: int = 42, limit: float = 1.0) -> DataFrame:
+    """The audit of ``share`` of the chips, by a seeded order of their keys, and n_wrong, chips with another number of channels.
+
+    ``bands`` of a chip is an array of channels, each an array of values; a channel past the names isn't audited.
+    """
+    picked = chips.where(F.conv(F.substring(seeded(seed, *keys), 1, 8), 16, 10).cast("bigint") < int(share * 2**32))
+    wrong = picked.agg(F.count_if(F.size("bands") != len(names)).alias("n_wrong"), F.count("*").alias("n_chips"))
+    v = picked.select(F.posexplode("bands").alias("c", "vs")).select("c", F.explode("vs").alias("v"))
+    per = v.groupBy("c").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("n_null"), F.min("v").alias("min"), F.max("v").alias("max"), F.count_if(F.abs("v") > limit).alias("_out"))
+    per = per.where(F.col("c") < len(names)).withColumn("pct_out", F.coalesce(F.try_divide(100.0 * F.col("_out"), F.col("n")), F.lit(0.0)))
+    name = F.get(F.array(*map(F.lit, names)), F.col("c"))
+    return per.crossJoin(F.broadcast(wrong)).select(name.alias("channel"), "n", "n_null", "min", "max", "pct_out", (F.col("pct_out") < 1).alias("passed"), "n_chips", "n_wrong")
+
+
 def regression_matrix(labels: DataFrame, rasters: list[DataFrame], variables: list[str], nodata: dict[str, float] | None = None) -> DataFrame:
     """Labelled pixels with all predictors. Labels are filtered first, so the joins carry labelled pixels only."""
     px = stack_rasters([labels.where("label > 0"), *rasters])

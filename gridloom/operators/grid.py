@@ -239,9 +239,14 @@ def boxed(polys: DataFrame, rings: str = "rings") -> DataFrame:
 
 
 def by_block(polys: DataFrame, size: int, margin: float = 0.0) -> DataFrame:
-    """One row for each block of size x size pixels that a polygon's box (with a margin) touches; polygons in pixel units."""
+    """One row for each block of size x size pixels that a polygon's box (with a margin) touches; polygons in pixel units.
+
+    A block keeps the sides that cross its rows (with the margin): others meet neither its pixels' rays nor the margin.
+    """
     span = lambda low, high: F.explode(F.sequence(F.floor((F.col(low) - margin) / size), F.floor((F.col(high) + margin) / size)))
-    return polys.withColumn("_br", span("_y0", "_y1")).withColumn("_bc", span("_x0", "_x1"))
+    top, bottom = F.col("_br") * size - margin, (F.col("_br") + 1) * size + margin
+    near = F.filter("_sides", lambda s: (F.least(s["p"]["y"], s["q"]["y"]) <= bottom) & (F.greatest(s["p"]["y"], s["q"]["y"]) >= top))
+    return polys.withColumn("_br", span("_y0", "_y1")).withColumn("_sides", near).withColumn("_bc", span("_x0", "_x1"))
 
 
 def join_polygons(px: DataFrame, polys: DataFrame, carry: list[str], size: int = 32, within: float = 0.0) -> DataFrame:

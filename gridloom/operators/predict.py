@@ -5,9 +5,11 @@ Class probabilities are arrays; class k is the element k - 1 and 0 is the backgr
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,8 +25,17 @@ def starts(n: int, size: int, step: int) -> list[int]:
 
 
 def window_explode(px: DataFrame, height: int, width: int, size: int, step: int) -> DataFrame:
-    """One row for each window that covers a pixel (row0, col0): at most (size / step + 1)^2, without a join."""
-    over = lambda c, n: F.explode(F.filter(F.array(*[F.lit(s) for s in starts(n, size, step)]), lambda s: (s <= F.col(c)) & (F.col(c) < s + size)))
+    """One row for each window that covers a pixel (row0, col0): at most (size / step + 1)^2, by arithmetic, without a join."""
+
+    def over(c: str, n: int) -> Column:
+        at, last = F.col(c), max(0, n - size)
+        low = F.greatest(F.lit(0), F.floor((at - size + step) / step))
+        high = F.least(F.floor(at / step), F.lit(last // step))
+        regular = F.when(low <= high, F.transform(F.sequence(low, high), lambda i: i * step)).otherwise(F.array().cast("array<bigint>"))
+        regular = F.filter(regular, lambda s: at < s + size)
+        edge = F.when((at >= last) & (at < last + size) & F.lit(last % step != 0), F.array(F.lit(last).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+        return F.explode(F.concat(regular, edge).cast("array<int>"))
+
     return px.withColumn("row0", over("px_row", height)).withColumn("col0", over("px_col", width))
 
 
@@ -222,24 +233,33 @@ def stratified(df: DataFrame, n: int, order: Column, label: str = "label") -> Da
 
 
 def kfold(chips: DataFrame, k: int, order: Column) -> DataFrame:
-    """C4: a fold for each chip by a repeatable shuffle; spread by hash, so folds differ a little in size and nothing is sorted."""
-    return chips.withColumn("fold", F.conv(F.substring(order, 1, 8), 16, 10).cast("bigint") % k)
+    """C4: a fold for each chip by a repeatable shuffle; folds differ by one chip at most. One task orders one row a chip."""
+    return chips.withColumn("fold", F.ntile(k).over(Window.orderBy(order)) - 1)
+
+
+def split(chips: DataFrame, order: Column, test: float = 0.2) -> DataFrame:
+    """C4: add is_train: false for the last ``test`` of the chips (rounded up) by a repeatable shuffle."""
+    n = chips.agg(F.count("*").alias("_n"))
+    ranked = chips.withColumn("_rank", F.row_number().over(Window.orderBy(order))).crossJoin(F.broadcast(n))
+    return ranked.withColumn("is_train", F.col("_rank") <= F.col("_n") - F.ceil(test * F.col("_n"))).drop("_rank", "_n")
 
 
 def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
     """(group, n, fold): groups from the largest to the fold with the least rows so far (the lowest of equal ones).
 
-    Only group sizes are gathered: blocks of 500 x 500 pixels, so one entry for 250000 rows.
+    The choice depends on all groups before, so one task streams over the sorted group sizes (one row for a block
+    of pixels) and keeps k sums.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    ordered = sizes.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(group).alias("g")))).alias("all"))
-    least = lambda load: F.array_position(load, F.array_min(load)).cast("int")
-    zero = F.struct(F.array(*[F.lit(0).cast("long") for _ in range(k)]).alias("load"), F.array().cast("array<int>").alias("fold"))
-
-    def place(acc, x):
-        at = least(acc["load"])
-        load = F.transform(acc["load"], lambda v, i: F.when(i == at - 1, v - x["m"]).otherwise(v))
-        return F.struct(load.alias("load"), F.array_append(acc["fold"], at - 1).alias("fold"))
-
-    placed = ordered.select("all", F.aggregate("all", zero, place)["fold"].alias("fold"))
-    return placed.select(F.inline(F.arrays_zip("all", "fold"))).select(F.col("all")["g"].alias(group), (-F.col("all")["m"]).alias("n"), "fold")
+    sizes = df.groupBy(group).agg(F.count("*").alias("n")).repartition(1).sortWithinPartitions(F.desc("n"), F.asc(group))
+
+    def deal(it):
+        loads = [(0, i) for i in range(k)]
+        for batch in it:
+            folds = []
+            for n in batch.column("n").to_pylist():
+                load, fold = loads[0]
+                heapq.heapreplace(loads, (load + n, fold))
+                folds.append(fold)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(folds, pa.int32())], names=[group, "n", "fold"])
+
+    return sizes.mapInArrow(deal, sizes.withColumn("fold", F.lit(0)).schema)

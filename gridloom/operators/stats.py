@@ -16,14 +16,44 @@ def unpivot(px: DataFrame, bands, keys=()) -> DataFrame:
     return px.unpivot([F.col(k) for k in keys], [F.col(b) for b in bands], "band", "v").where("v IS NOT NULL")
 
 
-def _percentiles(v, at: list[float], exact: bool) -> Column:
-    """Exact percentiles count distinct values (65536 at most for 16-bit bands); sketches suit wider types."""
-    return F.percentile(v, F.array(*map(F.lit, at))) if exact else F.percentile_approx(v, at, 100_000)
+#: Half the width, in ranks, of the bracket around an exact percentile, and the rows from which brackets are used.
+_NEAR = 0.001
+_MANY = 4000
+
+
+def percentiles(v: DataFrame, keys: list[str], value: str, at: list[float], exact: bool = True) -> DataFrame:
+    """(keys, _p): percentiles of a column without NULLs, by linear interpolation between ranks, for each group.
+
+    Exact ones take two passes: sketches bracket each percentile; then values below a bracket are counted and
+    those within it, some 0.2 % of the rows, are grouped by value. No group's values are held in one task's memory.
+    """
+    if not exact:
+        return v.groupBy(*keys).agg(F.percentile_approx(value, at, 100_000).alias("_p"))
+    probes = [min(1.0, max(0.0, p + d)) for p in at for d in (-_NEAR, _NEAR)]
+    seen = v.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.percentile_approx(value, probes, 10_000).alias("_b"))
+    few = F.col("_n") < _MANY
+    limits = [F.struct(F.when(few, F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("lo"), F.when(few, F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("hi"), F.lit(p).alias("at"), F.lit(i).alias("i")) for i, p in enumerate(at)]
+    seen = seen.select(*keys, "_n", F.array(*limits).alias("_lim"))
+    rows = v.select(*keys, F.col(value).alias("_v"))
+    rows = rows.join(seen, keys) if keys else rows.crossJoin(F.broadcast(seen))
+    below = rows.groupBy(*keys).agg(F.array(*[F.count_if(F.col("_v") < F.col("_lim")[i]["lo"]) for i in range(len(at))]).alias("_below"))
+    inside = rows.select(*keys, "_v", "_n", F.inline(F.filter("_lim", lambda x: F.col("_v").between(x["lo"], x["hi"]))))
+    counts = inside.groupBy(*keys, "i", "at", "_n", "_v").agg(F.count("*").alias("_m"))
+    counts = counts.join(below, keys) if keys else counts.crossJoin(F.broadcast(below))
+    upto = F.sum("_m").over(Window.partitionBy(*keys, "i").orderBy("_v")) + F.get("_below", F.col("i"))
+    place = F.col("at") * (F.col("_n") - 1)
+    holds = lambda rank: F.max(F.when((F.col("_upto") - F.col("_m") <= rank) & (rank < F.col("_upto")), F.col("_v")))
+    found = counts.withColumn("_upto", upto).groupBy(*keys, "i", place.alias("_at")).agg(holds(F.floor(place)).alias("_lo"), holds(F.ceil(place)).alias("_hi"))
+    mid = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((F.ceil("_at") - F.col("_at")) * F.col("_lo") + (F.col("_at") - F.floor("_at")) * F.col("_hi"))
+    out = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", mid.cast("double").alias("p")))).alias("_p"))
+    return out.select(*keys, F.col("_p.p").alias("_p"))
 
 
 def band_stats(px: DataFrame, bands, exact: bool = True) -> DataFrame:
     """N, median, iqr (98th less 2nd percentile; 1 if not positive), min, max, mean and std of each band."""
-    agg = unpivot(px, bands).groupBy("band").agg(_percentiles("v", [0.02, 0.5, 0.98], exact).alias("_p"), F.count("v").alias("n_samples"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    v = unpivot(px, bands)
+    agg = v.groupBy("band").agg(F.count("v").alias("n_samples"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    agg = agg.join(percentiles(v, ["band"], "v", [0.02, 0.5, 0.98], exact), "band")
     iqr = F.col("_p")[2] - F.col("_p")[0]
     return agg.select("band", F.col("_p")[1].alias("median"), F.when(iqr > 0, iqr).otherwise(1.0).alias("iqr"), "n_samples", "min", "max", "mean", "std")
 
@@ -42,6 +72,26 @@ def zscore_stats(px: DataFrame, bands, per_band: bool = True, least: float = 1e-
     return row.select(F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.coalesce(F.col(f"m_{of(b)}"), F.lit(0.0)).alias("mean"), std(b).alias("std")) for b in bands])))
 
 
+def zscore_sampled(px: DataFrame, bands, windows: DataFrame, size: int, most: int, seed: int, by: str = "tile_id", least: float = 1e-6) -> DataFrame:
+    """zscore_stats of the pixels in sampled windows (by, row0, col0), at most ``most`` values a band; unique pixels by place."""
+    cut = px.join(_window_blocks(windows, size, by), [F.col(f"_w{by}") == F.col(by), F.floor(F.col("px_row") / size) == F.col("_br"), F.floor(F.col("px_col") / size) == F.col("_bc"), F.expr(f"px_row BETWEEN row0 AND row0 + {size - 1} AND px_col BETWEEN col0 AND col0 + {size - 1}")], "left_semi")
+    v = sample_n(unpivot(cut, bands, ["px_row", "px_col"]), most, seed, ["band"], ["px_row", "px_col"])
+    found = v.groupBy("band").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    every = px.sparkSession.createDataFrame([(b,) for b in bands], "band string")
+    return every.join(found, "band", "left").select("band", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce(F.when(F.col("std") >= least, F.col("std")), F.lit(1.0)).alias("std"))
+
+
+def _window_blocks(windows: DataFrame, size: int, by: str) -> DataFrame:
+    """The windows by the blocks of their size that they touch, four at most."""
+    span = lambda c: F.explode(F.sequence(F.floor(F.col(c) / size), F.floor((F.col(c) + size - 1) / size)))
+    return windows.select(F.col(by).alias(f"_w{by}"), "row0", "col0").withColumn("_br", span("row0")).withColumn("_bc", span("col0"))
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """A statistics table as CSV with a header."""
+    stats.write.option("header", True).csv(path)
+
+
 def normalise(px: DataFrame, stats: DataFrame, bands, centre: str, scale: str, only=None) -> DataFrame:
     """(v - centre) / scale of each band (or those of ``only``); bands that the statistics lack keep their values.
 
@@ -64,7 +114,7 @@ def standardize(px: DataFrame, bands) -> DataFrame:
 def clip_robust(px: DataFrame, bands, low: float = 0.001, high: float = 0.999, exact: bool = True) -> DataFrame:
     """All bands clipped to percentiles of the values of all bands of wholly valid pixels."""
     valid = px.where(" AND ".join(f"{b} IS NOT NULL" for b in bands))
-    limits = unpivot(valid, bands).agg(_percentiles("v", [low, high], exact).alias("_p"))
+    limits = percentiles(unpivot(valid, bands), [], "v", [low, high], exact)
     wide = px.crossJoin(F.broadcast(limits))
     clipped = lambda b: F.when(F.col(b).isNotNull(), F.least(F.greatest(F.col(b), F.col("_p")[0]), F.col("_p")[1]))
     return wide.withColumns({b: clipped(b) for b in bands}).drop("_p")
@@ -88,8 +138,8 @@ def assess(px: DataFrame, stats: DataFrame, bands, least: int = 10, exact: bool
     out = [F.count("v").alias("n_samples")]
     for c, name in (("v", "raw"), ("z", "norm")):
         out += [F.avg(c).alias(f"{name}_mean"), F.stddev_pop(c).alias(f"{name}_std"), F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
-    out += [_percentiles("z", [0.05, 0.95], exact).alias("_p"), F.count_if(F.col("z") > 5).alias("outliers_pos"), F.count_if(F.col("z") < -5).alias("outliers_neg")]
-    found = v.groupBy("band").agg(*out).where(F.col("n_samples") > least)
+    out += [F.count_if(F.col("z") > 5).alias("outliers_pos"), F.count_if(F.col("z") < -5).alias("outliers_neg")]
+    found = v.groupBy("band").agg(*out).where(F.col("n_samples") > least).join(percentiles(v, ["band"], "z", [0.05, 0.95], exact), "band")
     return found.withColumns({"norm_q05": F.col("_p")[0], "norm_q95": F.col("_p")[1]}).drop("_p")
 
 
@@ -112,7 +162,7 @@ def compare_norm(px: DataFrame, first: DataFrame, second: DataFrame, bands, limi
 def box_stats(px: DataFrame, bands, exact: bool = True) -> DataFrame:
     """Quartiles, the furthest values within 1.5 quartile ranges of them, and the number of values beyond."""
     v = unpivot(px, bands)
-    q = v.groupBy("band").agg(_percentiles("v", [0.25, 0.5, 0.75], exact).alias("q"))
+    q = percentiles(v, ["band"], "v", [0.25, 0.5, 0.75], exact).withColumnRenamed("_p", "q")
     step = 1.5 * (F.col("q")[2] - F.col("q")[0])
     v = v.join(F.broadcast(q), "band").withColumn("_in", F.col("v").between(F.col("q")[0] - step, F.col("q")[2] + step))
     out = v.groupBy("band").agg(F.any_value("q").alias("q"), F.min(F.when(F.col("_in"), F.col("v"))).alias("low"), F.max(F.when(F.col("_in"), F.col("v"))).alias("high"), F.count_if(~F.col("_in")).alias("n_fliers"))

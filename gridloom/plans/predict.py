@@ -98,6 +98,11 @@ def c04_kfold(spark, sf_dir):
     return P.kfold(chips, 3, seeded(42, *_CHIP))
 
 
+def c04_split(spark, sf_dir):
+    chips = scene(spark, sf_dir).selectExpr("px_row div 8 AS chip_row", "px_col div 8 AS chip_col").distinct()
+    return P.split(chips, seeded(42, *_CHIP))
+
+
 def c05_balanced_weights(spark, sf_dir):
     return rounded(P.balanced_weights(scored(spark, sf_dir)))
 
@@ -174,7 +179,9 @@ ORACLES = {
     "u04_histogram": _mc("SELECT least(floor(entropy / ln(3) * 30), 29)::INT AS bin, count(*) AS n FROM en WHERE entropy BETWEEN 0 AND ln(3) GROUP BY 1"),
     "c01_stratified": oracle("SELECT label, px_row, px_col FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || px_row || ':' || px_col)) AS rn, count(*) OVER (PARTITION BY label) AS n, count(*) OVER () AS total FROM (SELECT px_row, px_col, b4::BIGINT % 4 AS label FROM scene)) WHERE rn <= least(n, greatest(1, round(1000 * n / total)))", "scene"),
     "c02_block_id": oracle("SELECT px_row, px_col, (px_row // 50) * 6 + px_col // 50 AS block FROM scene", "scene"),
-    "c04_kfold": oracle("SELECT chip_row, chip_col, ('0x' || substr(md5('42:' || chip_row || ':' || chip_col), 1, 8))::BIGINT % 3 AS fold FROM (SELECT DISTINCT px_row // 32 AS chip_row, px_col // 32 AS chip_col FROM scene)", "scene"),
+    "c03_group_kfold": oracle("WITH RECURSIVE o AS (SELECT block, n, row_number() OVER (ORDER BY n DESC, block) AS rn FROM (SELECT (px_row // 50) * 6 + px_col // 50 AS block, count(*) AS n FROM scene GROUP BY 1)), r(rn, fold, load) AS (SELECT 0::BIGINT, -1::BIGINT, [0, 0, 0, 0, 0]::BIGINT[] UNION ALL SELECT o.rn, list_position(load, list_min(load))::BIGINT - 1, list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + o.n ELSE x END) FROM r JOIN o ON o.rn = r.rn + 1) SELECT block, n, fold FROM r JOIN o USING (rn)", "scene"),
+    "c04_split": oracle("SELECT chip_row, chip_col, row_number() OVER (ORDER BY md5('42:' || chip_row || ':' || chip_col)) <= count(*) OVER () - ceil(0.2 * count(*) OVER ()) AS is_train FROM (SELECT DISTINCT px_row // 8 AS chip_row, px_col // 8 AS chip_col FROM scene)", "scene"),
+    "c04_kfold": oracle("SELECT chip_row, chip_col, ntile(3) OVER (ORDER BY md5('42:' || chip_row || ':' || chip_col)) - 1 AS fold FROM (SELECT DISTINCT px_row // 32 AS chip_row, px_col // 32 AS chip_col FROM scene)", "scene"),
     "c05_balanced_weights": _mc("SELECT label, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM px GROUP BY label"),
     "c09_classification_report": _mc(" UNION ALL ".join([_rep("k::VARCHAR", "pr", "re", "f1", "t"), _rep("'accuracy'", *["sum(tp) / sum(t)"] * 3, "sum(t)"), _rep("'macro avg'", "avg(pr)", "avg(re)", "avg(f1)", "sum(t)"), _rep("'weighted avg'", *[f"sum({x} * t) / sum(t)" for x in ("pr", "re", "f1")], "sum(t)")])),
     "c11_seg_class_weights": _mc("SELECT label, round(weight, 6) AS weight FROM wt"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mask as M
 from ..operators import mosaic as D
-from ..sources.views import aef_q, land_mask, oracle, scene, scene_px, topo_px
+from ..sources.views import aef_arrays, land_mask, oracle, scene, scene_px, topo_px
 from .masks import _ART, SNOW_SQL, snow_px
 
 #: The rule engine's bounds, in order; a raster's first match counts.
@@ -83,13 +83,12 @@ def m22_mul_mask(spark, sf_dir):
 
 
 def m23_dequantize(spark, sf_dir):
-    q = aef_q(spark, sf_dir)
-    bad = q.groupBy("vec_id").agg(F.bool_or(F.col("q") == -128).alias("bad"))
-    return q.join(bad, "vec_id").select("vec_id", "b", F.when(~F.col("bad"), F.round(M.dequantize("q"), 9)).alias("v"))
+    q = aef_arrays(spark, sf_dir).select("vec_id", F.exists("q", lambda x: x == -128).alias("bad"), F.posexplode("q").alias("b", "q"))
+    return q.select("vec_id", "b", F.when(~F.col("bad"), F.round(M.dequantize("q"), 9)).alias("v"))
 
 
 def m24_valid_fraction(spark, sf_dir):
-    valid = aef_q(spark, sf_dir).groupBy("vec_id").agg((~F.bool_or(F.col("q") == -128)).alias("valid"))
+    valid = aef_arrays(spark, sf_dir).select((~F.exists("q", lambda x: x == -128)).alias("valid"))
     return valid.agg(F.round(F.avg(F.col("valid").cast("int")), 9).alias("valid_fraction"))
 
 

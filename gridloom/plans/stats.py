@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stats as N
 from ..operators.mask import BANDS, is_artefact
+from ..sources.files import scratch
 from ..sources.views import oracle, scene, scene_px
 
 SEED = 42
@@ -41,6 +42,19 @@ def n04_zscore_first_band(spark, sf_dir):
     return rounded(N.zscore_stats(clean(spark, sf_dir), BANDS, per_band=False))
 
 
+def n04_zscore_sampled(spark, sf_dir):
+    """From 40 tried windows of 32 x 32 a tile, ten kept, and 2000 values a band at most."""
+    px = clean(spark, sf_dir)
+    return rounded(N.zscore_sampled(px, BANDS, N.sample_windows(px, per_tile=10, tries=40, size=32, extent=256, seed=SEED), 32, 2000, SEED))
+
+
+def s08_stats_table(spark, sf_dir):
+    path = scratch(spark, "stats")
+    stats = N.band_stats(clean(spark, sf_dir), BANDS)
+    N.write_stats(stats, path)
+    return rounded(N.read_stats(spark.read.schema(stats.schema).option("header", True).csv(path)))
+
+
 def n05_apply_norm(spark, sf_dir):
     px = clean(spark, sf_dir)
     return rounded(N.normalise(px, N.zscore_stats(px, BANDS), BANDS, "mean", "std", only=["b4"]).select("px_row", "px_col", "b3", "b4"))
@@ -93,7 +107,7 @@ def n16_raster_stats(spark, sf_dir):
     return rounded(N.window_stats(scene(spark, sf_dir), "b2"))
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and k[0] == "n" and k[1:3].isdigit()}
+QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and k[0] in "ns" and k[1:3].isdigit()}
 
 _ART = "({0} = 0 OR {0} >= 60000)"
 _CLEAN = "clean AS (SELECT px_row, px_col, " + ", ".join(f"CASE WHEN NOT {_ART.format(b)} THEN {b} END AS {b}" for b in BANDS) + " FROM scene)"
@@ -116,12 +130,15 @@ _BOX = """SELECT round(min(q1), 6) AS q1, round(min(q2), 6) AS median, round(min
  FROM (SELECT *, v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS ok FROM (SELECT v0.band, v, q1, q2, q3 FROM v0 JOIN (SELECT band, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM v0 GROUP BY band) q ON q.band = v0.band)) GROUP BY band"""
 _WIN = "round(min(b2), 6) AS min, round(max(b2), 6) AS max, round(avg(b2), 6) AS mean, round(stddev_pop(b2), 6) AS std, count(*) AS n, count(*) FILTER (WHERE b2 = 0) AS n_zero, round(100.0 * count(*) FILTER (WHERE b2 <> 0) / count(*), 6) AS pct_nonzero, count(DISTINCT b2) AS n_unique, array_to_string(list_sort(list(DISTINCT b2::BIGINT))[1:20], ',') AS least_values"
 _DRAW = "(('0x' || substr(md5('42{0}:' || tile_id || ':' || win), 1, 7))::BIGINT % 225)"
+_WINDOWS = f"SELECT tile_id, row0, col0 FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY win) AS rk FROM (SELECT w.tile_id, win, row0, col0 FROM (SELECT tile_id, win, {_DRAW.format('r')} AS row0, {_DRAW.format('c')} AS col0 FROM (SELECT DISTINCT tile_id FROM scene), range(40) r(win)) w JOIN (SELECT s.tile_id, px_row, px_col FROM scene s WHERE NOT {_ART.format('b1')}) p ON p.tile_id = w.tile_id AND px_row BETWEEN row0 AND row0 + 31 AND px_col BETWEEN col0 AND col0 + 31 GROUP BY ALL HAVING count(*) >= 0.02 * 1024)) WHERE rk <= 10"
 ORACLES = {
     "n01_sample_windows": oracle(f"SELECT tile_id, win, row0, col0, n_valid FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY win) AS rn FROM (SELECT w.tile_id, win, row0, col0, count(*) AS n_valid FROM (SELECT tile_id, win, {_DRAW.format('r')} AS row0, {_DRAW.format('c')} AS col0 FROM (SELECT DISTINCT tile_id FROM scene_px), range(20) r(win)) w JOIN (SELECT DISTINCT tile_id, px_row, px_col FROM scene_px) p ON p.tile_id = w.tile_id AND px_row BETWEEN row0 AND row0 + 31 AND px_col BETWEEN col0 AND col0 + 31 GROUP BY ALL HAVING count(*) >= 0.02 * 1024)) WHERE rn <= 3", "scene_px"),
     "n02_band_stats": _of("SELECT band, n_samples, " + ", ".join(f"round({c}, 6) AS {c}" for c in "median iqr min max mean std".split()) + " FROM st"),
     "n03_robust_norm": _of("SELECT px_row, px_col, " + ", ".join(f"round(({b} - {_one(b, 'median')}) / greatest({_one(b, 'iqr')}, 1e-6), 6) AS {b}" for b in ("b2", "b7")) + " FROM clean"),
     "n04_zscore_stats": _of("SELECT band, round(mean, 6) AS mean, round(CASE WHEN std < 1e-6 THEN 1 ELSE std END, 6) AS std FROM st"),
     "n04_zscore_first_band": _of("SELECT b.band, round(mean, 6) AS mean, round(CASE WHEN std < 1e-6 THEN 1 ELSE std END, 6) AS std FROM (SELECT band FROM st) b, (SELECT * FROM st WHERE band = 'b1') s"),
+    "n04_zscore_sampled": _of(f"SELECT band, round(avg(v), 6) AS mean, round(CASE WHEN stddev_pop(v) < 1e-6 THEN 1 ELSE stddev_pop(v) END, 6) AS std FROM (SELECT v.*, row_number() OVER (PARTITION BY band ORDER BY md5('42:' || px_row || ':' || px_col), px_row, px_col) AS rn FROM v JOIN (SELECT DISTINCT s.px_row, s.px_col FROM scene s JOIN ({_WINDOWS}) w ON w.tile_id = s.tile_id AND s.px_row BETWEEN row0 AND row0 + 31 AND s.px_col BETWEEN col0 AND col0 + 31) USING (px_row, px_col)) WHERE rn <= 2000 GROUP BY band"),
+    "s08_stats_table": _of("SELECT band, round(median, 6) AS median, round(greatest(iqr, 1e-6), 6) AS iqr FROM st"),
     "n05_apply_norm": _of(f"SELECT px_row, px_col, round(b3, 6) AS b3, round((b4 - {_one('b4', 'mean')}) / {_one('b4', 'std')}, 6) AS b4 FROM clean"),
     "n06_assess": _of("SELECT band, n_samples, outliers_pos, outliers_neg, " + ", ".join(f"round({c}, 6) AS {c}" for c in _QC_COLS) + f" FROM ({_QC})"),
     "n07_verdict": _of(f"SELECT band, off_centre, bad_spread, many_outliers, narrow, NOT (off_centre OR bad_spread OR many_outliers) AS healthy FROM (SELECT band, abs(norm_mean) > 0.5 AS off_centre, NOT norm_std BETWEEN 0.7 AND 1.5 AS bad_spread, outliers_pos + outliers_neg > 10 AS many_outliers, norm_q95 - norm_q05 < 3 AS narrow FROM ({_QC}))"),

@@ -13,7 +13,7 @@ from ..operators import predict as P
 from ..operators import project as J
 from ..operators import stats as N
 from ..sources import files as S
-from ..sources.views import aef_q, oracle, scene, scene_px, table
+from ..sources.views import aef_arrays, oracle, scene, scene_px, table
 from .chips import ORACLES as CHIP_SQL
 from .chips import SIZE, _catalog, _chip, _MAP, l09_chip_metadata, labelled, r01_regression_matrix
 from .grids import polygons
@@ -22,6 +22,7 @@ from .stats import _HEAD, clean, rounded
 #: The scene taken as one of zone 32, which lies west of the national zone.
 WEST = G.Grid(crs="EPSG:32632")
 NATIONAL = "EPSG:25833"
+EMBEDDED = 64
 TERRAIN, SAT, FEATURES = ["b5", "b8"], ["b2", "b4"], ["b2", "b4", "b7"]
 ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
@@ -85,12 +86,12 @@ def l05_build_chips(spark, sf_dir):
 
 def l06_build_channels(spark, sf_dir):
     """The embedding policy: embeddings and a category as they are, terrain z-scored."""
-    q = aef_q(spark, sf_dir).where("b < 2")
-    wide = q.groupBy("vec_id", "px_row", "px_col").pivot("b", [0, 1]).agg(F.first("q")).withColumnsRenamed({"0": "e0", "1": "e1"})
-    wide = wide.select("px_row", "px_col", F.when(F.col("e0") != -128, F.col("e0").cast("double")).alias("e0"), F.col("e1").cast("double").alias("e1"))
+    q = aef_arrays(spark, sf_dir)
+    band = lambda i: F.when(F.get("q", F.lit(i)) != -128, F.get("q", F.lit(i)).cast("double")).alias(f"e{i}")
+    wide = q.select((F.floor(F.col("vec_id") / 16)).alias("px_row"), (F.col("vec_id") % 16).alias("px_col"), *map(band, range(EMBEDDED)))
     px = wide.join(scene(spark, sf_dir).select("px_row", "px_col", "b5", "b4"), ["px_row", "px_col"]).withColumn("label", F.lit(1))
     px = px.withColumn("kind", (F.col("b4") % 7).cast("int").cast("double"))
-    return _numbers(L.build_channels(px, N.zscore_stats(px, ["b5"]), ["b5"], raw=["e0", "e1", "kind"]), 4)
+    return _numbers(L.build_channels(px, N.zscore_stats(px, ["b5"]), ["b5"], raw=[*(f"e{i}" for i in range(EMBEDDED)), "kind"]), EMBEDDED + 2)
 
 
 def l18_transpose(spark, sf_dir):
@@ -125,7 +126,7 @@ def _samples(spark, sf_dir):
     px = clean(spark, sf_dir).select("px_row", "px_col", *FEATURES).na.drop().withColumn("label", F.pmod(F.floor(score), F.lit(3)).cast("int"))
     px = px.withColumn("block", P.block_id(64, 256))
     folds = P.group_kfold(px, "block", 5).select("block", "fold")
-    px = px.join(F.broadcast(folds), "block").join(F.broadcast(P.balanced_weights(px)), "label")
+    px = px.join(folds, "block").join(F.broadcast(P.balanced_weights(px)), "label")
     path = S.scratch(spark, "samples")
     px.write.parquet(path)
     return spark.read.schema(px.schema).parquet(path)
@@ -207,15 +208,23 @@ def _l05():
     """The channels by SQL, from the chip and the statistics views."""
     from .chips import _LAB
 
-    row = f"SELECT lab.px_row, lab.px_col, label, {_z('b5', 'clean')} AS c0, {_z('b8', 'clean')} AS c1, {_r('b2')} AS c2, {_r('b4')} AS c3, {_NDVI} AS c4 FROM lab LEFT JOIN clean USING (px_row, px_col) WHERE lab.px_row < 224 AND lab.px_col < 224"
+    row = f"SELECT lab.px_row, lab.px_col, label, {_z('b5', 'clean')} AS c0, {_z('b8', 'clean')} AS c1, {_r('b2')} AS c2, {_r('b4')} AS c3, {_NDVI} AS c4 FROM lab LEFT JOIN clean USING (px_row, px_col)"
     ok = " AND ".join(f"c{i} IS NOT NULL" for i in range(5))
     return oracle(f"{_HEAD.rstrip()}, {_LAB}, w AS ({row})\nSELECT px_row, px_col, CASE WHEN {ok} THEN label ELSE 0 END AS label, " + ", ".join(f"CASE WHEN {ok} THEN round(c{i}, 6) END AS c{i}" for i in range(5)) + " FROM w", "scene", "land_mask", "label_polys")
 
 
-_L06 = f"""WITH px AS (SELECT s.px_row, s.px_col, CASE WHEN e0 <> -128 THEN e0::DOUBLE END AS e0, e1::DOUBLE AS e1, b5, (b4 % 7)::BIGINT AS kind FROM
- (SELECT px_row, px_col, max(q) FILTER (WHERE b = 0) AS e0, max(q) FILTER (WHERE b = 1) AS e1 FROM aef_q WHERE b < 2 GROUP BY vec_id, px_row, px_col) a JOIN scene s USING (px_row, px_col))
-SELECT px_row, px_col, CASE WHEN e0 IS NULL OR e1 IS NULL THEN 0 ELSE 1 END AS label, CASE WHEN e0 IS NOT NULL AND e1 IS NOT NULL THEN round({_z('b5', 'px')}, 6) END AS c0,
- CASE WHEN e1 IS NOT NULL THEN e0 END AS c1, CASE WHEN e0 IS NOT NULL THEN e1 END AS c2, CASE WHEN e0 IS NOT NULL AND e1 IS NOT NULL THEN trunc(kind)::DOUBLE END AS c3 FROM px"""
+def _l06():
+    """The embedding policy by SQL: all bands are lost where one is."""
+    bands = range(EMBEDDED)
+    wide = ", ".join(f"max(q) FILTER (WHERE b = {i} AND q <> -128)::DOUBLE AS e{i}" for i in bands)
+    ok = " AND ".join(f"e{i} IS NOT NULL" for i in bands)
+    values = [f"round({_z('b5', 'px')}, 6)", *(f"e{i}" for i in bands), "trunc(kind)::DOUBLE"]
+    chosen = ", ".join(f"CASE WHEN ok THEN {v} END AS c{i}" for i, v in enumerate(values))
+    return f"""WITH px AS (SELECT s.px_row, s.px_col, a.* EXCLUDE (vec_id, px_row, px_col), {ok} AS ok, b5, (b4 % 7)::BIGINT AS kind
+ FROM (SELECT vec_id, px_row, px_col, {wide} FROM aef_q GROUP BY vec_id, px_row, px_col) a JOIN scene s USING (px_row, px_col))
+SELECT px_row, px_col, CASE WHEN ok THEN 1 ELSE 0 END AS label, {chosen} FROM px"""
+
+
 ORACLES = {
     "g08_round_trip": oracle("SELECT px_row, px_col, round(500000 + (px_col + 0.5) * 10, 3)::DOUBLE AS x, round(7000000 - (px_row + 0.5) * 10, 3)::DOUBLE AS y FROM scene", "scene"),
     "g18_to_crs": oracle(f"SELECT poly_id, corner, round(500000 + x * 10, 3) AS x, round(7000000 - y * 10, 3) AS y FROM ({_RING})", "label_polys"),
@@ -223,7 +232,7 @@ ORACLES = {
     "d04_stack": oracle("SELECT px_row, px_col, " + ", ".join(f"max(b4) FILTER (WHERE tile_id = {i}) AS v_{i}" for i in range(4)) + " FROM scene_px GROUP BY 1, 2", "scene_px"),
     "d04_stack_below": oracle("SELECT px_row, px_col, tile_id, b4 FROM scene_px", "scene_px"),
     "l05_build_channels": _l05(),
-    "l06_build_channels": oracle(_L06, "scene", "aef_q"),
+    "l06_build_channels": oracle(_l06(), "scene", "aef_q"),
     "l18_transpose": oracle("SELECT px_row // 32 AS block_row, px_col // 32 AS block_col, 2 AS channels, round(sum(b2), 3) AS sum_b2, round(sum(b4), 3) AS sum_b4, true AS back FROM scene GROUP BY 1, 2", "scene"),
     "l19_pick_chip": oracle("SELECT chip_row, chip_col FROM (SELECT DISTINCT px_row // 32 AS chip_row, px_col // 32 AS chip_col FROM scene) ORDER BY md5('42:' || chip_row || ':' || chip_col), chip_row, chip_col LIMIT 1", "scene"),
     "r02_feature_names": _META,

@@ -64,6 +64,40 @@ def run_report(items: DataFrame, zone: str, status: str = "status") -> DataFrame
     return items.groupBy(zone, status).agg(F.count("*").alias("n"))
 
 
+def write_report(items: DataFrame, path: str) -> None:
+    """One JSON object an item, with its status and whatever is told about it."""
+    items.write.json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The items of a report, or of several below a folder."""
+    return spark.read.schema(schema).json(path)
+
+
+def write_raster(px: DataFrame, path: str, raster: str, block: int = 256) -> None:
+    """Pixels stored by raster and by row of blocks, so that a scan of a window reads those files alone."""
+    px.withColumn("block_row", F.floor(F.col("px_row") / block).cast("int")).write.partitionBy(raster, "block_row").parquet(path)
+
+
+def scan(spark: SparkSession, path: str, raster: str, which, bands=None, window: tuple[int, int, int, int] | None = None, block: int = 256) -> DataFrame:
+    """Pixels of one raster: all or some bands, all of it or a window (first row, first column, rows, columns).
+
+    Bands become the columns that are read, the window's rows of blocks the partitions, and its bounds filters that
+    Parquet gets. A window beyond the raster is cut to it; one of no rows or columns gives nothing.
+    """
+    px = spark.read.parquet(path).where(F.col(raster) == which)
+    if window is not None:
+        row, at, rows, columns = window
+        px = px.where(F.col("block_row").between(row // block, (row + rows - 1) // block))
+        px = px.where(F.col("px_row").between(row, row + rows - 1) & F.col("px_col").between(at, at + columns - 1))
+    return px.drop("block_row") if bands is None else px.select(raster, "px_row", "px_col", *bands)
+
+
+def select_band(px: DataFrame, band: str, keys=("px_row", "px_col")) -> DataFrame:
+    """One band as v."""
+    return px.select(*keys, F.col(band).alias("v"))
+
+
 def split_good_bad(df: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that may go on and rows to set aside; an unknown verdict sets a row aside."""
     ok = F.coalesce(good, F.lit(False))

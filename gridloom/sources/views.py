@@ -8,6 +8,7 @@ probabilities of 20 passes; aef_q: quantised 64-band embeddings.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 GRID = 256
 
@@ -47,7 +48,7 @@ FROM {part}"""
 MC_PRED = """SELECT px_row, px_col, pass, k, exp(z) / sum(exp(z)) OVER (PARTITION BY px_row, px_col, pass) AS p FROM (
  SELECT s.px_row, s.px_col, q.i AS pass, k.i AS k,
   CAST((s.px_row*7 + s.px_col*13 + q.i*17 + k.i*29 + (s.px_row*q.i*k.i) % 11) % 100 AS DOUBLE)/25 AS z
- FROM (SELECT px_row, px_col FROM {scene} WHERE px_row < 32 AND px_col < 32) s
+ FROM (SELECT px_row, px_col FROM {scene}) s
  CROSS JOIN range(20) AS q(i) CROSS JOIN range(1,4) AS k(i)) t"""
 
 AEF_Q = """SELECT vec_id, {div} AS px_row, vec_id % 16 AS px_col, b,
@@ -90,6 +91,12 @@ def aef_q(spark, sf_dir):
     return spark.sql(AEF_Q.replace("{div}", "vec_id div 16").replace("{src}", src), embeddings=table(spark, sf_dir, "embeddings"))
 
 
+def aef_arrays(spark, sf_dir):
+    """aef_q before its bands become rows: vec_id and the array q."""
+    q = F.transform("embedding", lambda e, i: F.when((i == 0) & (F.col("vec_id") % 17 == 0), -128).otherwise(F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(e.cast("double") * 250 + 0.5))).cast("int")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", q.alias("q"))
+
+
 #: The same views for the oracle, in the order in which they build on each other.
 _SQL = {
     "scene_px": SCENE_PX.replace("{lineitem}", "lineitem"),
@@ -108,4 +115,6 @@ def oracle(body: str, *views: str) -> str:
     names = list(dict.fromkeys(x for v in views for x in need.get(v, [v])))
     head = ",\n".join(f"{n} AS ({_SQL[n]})" for n in names)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {head},{body[14:]}"
     return f"WITH {head}{',' + body[4:] if body.upper().startswith('WITH') else chr(10) + body}" if head else body
