@@ -1,13 +1,14 @@
 """Helpers that the training-data operators share.
 
 Shared storage: everything that outlives a job is a table or file below the folder named by
-``spark.checkpoint.dir`` (a folder that all executors see); only where a session has none, as in
+``spark.checkpoint.dir`` (a folder that all executors see); only where a session in one process has none, as in
 tests, a temporary folder takes its place.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,10 +22,12 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, without a slash at its end."""
+    """The cluster's shared folder, without a slash at its end. A cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -36,17 +39,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small, so that batches of very long texts fit a worker's memory."""
+    """Bound the rows and bytes of the session's Arrow batches, so that batches of very long texts fit a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 24))
 
 
 def with_row_id(df: DataFrame, name: str = "_uid") -> DataFrame:
@@ -59,7 +63,7 @@ def with_row_id(df: DataFrame, name: str = "_uid") -> DataFrame:
 
 def numbered(df: DataFrame, name: str = "_uid") -> DataFrame:
     """The rows with numbers, stored with them in the shared folder: later reads see the same numbers whatever has become of ``df`` or the executors."""
-    return materialize(with_row_id(df, name), "rows")
+    return materialize(with_row_id(df, name), "rows", "zstd")
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:
@@ -210,24 +214,25 @@ def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(start, edges + 1))
 
 
-#: Bits of a bitmap that goes to executors or to the driver, whatever the number of keys (1 MB).
+#: Bits of a bitmap that goes to executors or to the driver: at least, and at most (16 MB), whatever the number of keys.
 BITMAP = 1 << 23
+MOST_BITS = 1 << 27
 
 
-def bitmap(keys: DataFrame, key: str) -> np.ndarray:
-    """A Bloom filter with two bits for each 64-bit key, as bytes. Of fixed size: only 64-bit words of it are collected."""
-    at = F.explode(F.array(F.col(key).bitwiseAND(F.lit(BITMAP - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(BITMAP - 1))))
+def bitmap(keys: DataFrame, key: str, n: int = 0) -> np.ndarray:
+    """A Bloom filter with two bits for each of ``n`` 64-bit keys, as bytes. Of bounded size: with very many keys it lets more pass."""
+    size = min(MOST_BITS, max(BITMAP, 1 << (16 * n).bit_length()))
+    at = F.explode(F.array(F.col(key).bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(size - 1))))
     bits = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    words = np.zeros(BITMAP >> 6, np.int64)
-    for word, bit in bits.groupBy("word").agg(F.bit_or("bit").alias("bit")).toLocalIterator():
-        words[word] = bit
+    words, found = np.zeros(size >> 6, np.int64), bits.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    words[found.column("word").to_numpy()] = found.column("bit").to_numpy()
     return words.view(np.uint8)
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the unsigned 64-bit keys may be in the bitmap."""
-    out = None
-    for at in (keys & U(BITMAP - 1), (keys >> U(32)) & U(BITMAP - 1)):
+    out, last = None, U(8 * len(bits) - 1)
+    for at in (keys & last, (keys >> U(32)) & last):
         at = at.astype(np.int64)
         hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         out = hit if out is None else out & hit
