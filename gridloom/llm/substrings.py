@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .common import U, by_size, byte_texts, materialize, mix, prefix_hashes, small_batches, span_hashes, with_row_id
+from .common import U, by_size, byte_texts, materialize, mix, numbered, prefix_hashes, small_batches, span_hashes
 
 LENGTH = 200
 K = 64
@@ -49,8 +50,8 @@ def sliding_min(keys: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     return after, before
 
 
-def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Anchor hash, hash of all bytes, text's place, first window, anchor's offset in it and number of windows of each run."""
+def runs(texts: list[bytes], named: bool = True) -> tuple[np.ndarray, ...]:
+    """Anchor hash, hash of all bytes (of another family; if ``named``), text's place, first window, anchor's offset in it and number of windows of each run."""
     which = np.array([i for i, x in enumerate(texts) if len(x) >= LENGTH], np.int64)
     if not len(which):
         return (np.zeros(0, U), np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(4)))
@@ -67,7 +68,9 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
     n = np.diff(np.r_[first, len(doc)])
     lo, at, of = s[first], anchor[first], doc[first]
-    whole = mix(span_hashes(prefix, lo, lo + n - 1 + LENGTH)) ^ mix(((at - lo) << 20 | n).astype(U))
+    view = memoryview(buf)
+    whole = np.array([xxh3_64_intdigest(view[a:b]) for a, b in zip(lo.tolist(), (lo + n - 1 + LENGTH).tolist())] if named else np.zeros(len(lo)), U)
+    whole = whole ^ mix(((at - lo) << 20 | n).astype(U))
     return grams[at], whole, which[of], lo - begins[of], at - lo, n
 
 
@@ -184,7 +187,7 @@ def _run_rows(docs: DataFrame, counted: bool) -> DataFrame:
         for batch in it:
             data, uid = byte_texts(batch.column("text")), batch.column("uid").to_numpy()
             for a, b in by_size(data):
-                h, c, doc, lo, at, n = runs(data[a:b])
+                h, c, doc, lo, at, n = runs(data[a:b], not counted)
                 if counted:
                     h, n = np.unique(h, return_counts=True)
                     yield _table([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
@@ -290,7 +293,7 @@ def strip_repeats(docs: DataFrame, text: str = "text", digest: bool = False) ->
     last = "kept_sha256" if digest else "kept"
     made = ["n_bytes", "n_removed", "n_spans", last]
     names = [c for c in docs.columns if c != text and c not in made]
-    rows = with_row_id(docs.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(names)], F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")), "uid")
+    rows = numbered(docs.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(names)], F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")), "uid")
     spans = repeated_spans(rows.select("uid", "text"))
     joined = rows.join(spans, "uid", "left").drop("uid")
     passed = [f"_r{i}" for i in range(len(names))]
