@@ -17,16 +17,19 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, open_store, put_file, small_batches, with_row_id
+from .common import fresh_path, materialize, numbered, open_store, put_file, small_batches
 from .tokens import _make_folder
 
 _READ = 1 << 18
+#: Bytes inflated at once.
+_STEP = 1 << 13
 _DATE = "2020-01-01T00:00:00Z"
 
 
@@ -52,7 +55,7 @@ def record(url: str, page, uid: int, payload: bytes, refers: tuple | None) -> by
         ("WARC-Type", "revisit" if refers else "response"),
         ("WARC-Record-ID", record_id(page, uid)),
         ("WARC-Date", _DATE),
-        ("WARC-Target-URI", "".join(c if c.isprintable() else "?" for c in url)),
+        ("WARC-Target-URI", "".join(c if c.isprintable() and c != " " else quote(c) for c in url)),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", "sha1:" + digest(payload)),
         ("WARC-Block-Digest", "sha1:" + digest(block)),
@@ -66,15 +69,19 @@ def record(url: str, page, uid: int, payload: bytes, refers: tuple | None) -> by
 
 
 def members(stream, size: int = _READ) -> Iterator[bytes]:
-    """The gzip members of a stream, inflated one at a time."""
-    data = b""
-    while data or (data := stream.read(size)):
+    """The gzip members of a stream, inflated one at a time and ``_STEP`` bytes at once, so that what follows a member isn't copied for each."""
+    data, at = memoryview(b""), 0
+    while at < len(data) or (data := memoryview(stream.read(size))):
+        at = 0 if at >= len(data) else at
         inflate, parts = zlib.decompressobj(31), []
         while not inflate.eof:
-            if not data and not (data := stream.read(size)):
-                raise ValueError("the archive ends within a record")
-            parts.append(inflate.decompress(data))
-            data = inflate.unused_data
+            if at >= len(data):
+                data, at = memoryview(stream.read(size)), 0
+                if not data:
+                    raise ValueError("the archive ends within a record")
+            part = data[at : at + _STEP]
+            parts.append(inflate.decompress(part))
+            at += len(part) - len(inflate.unused_data)
         yield b"".join(parts)
 
 
@@ -112,7 +119,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     spark = pages.sparkSession
     small_batches(spark, 512)
     rows = pages.select(F.col(page_id).cast("long").alias("page"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = with_row_id(rows, "uid").withColumn("key", F.unhex(F.sha1("payload")))
+    rows = numbered(rows, "uid").withColumn("key", F.unhex(F.sha1("payload")))
     firsts = rows.where(F.length("payload") >= least).groupBy("key").agg(F.max(F.struct("page", "uid")).alias("first"))
     firsts = materialize(firsts.select("key", F.col("first.page").alias("first_page"), F.col("first.uid").alias("first_uid")), "warc-first")
     rows = rows.join(firsts, "key", "left")
