@@ -102,15 +102,16 @@ def bad_hosts(verdicts: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The columns but the text, the metrics, base_failed and kept, one row for each of ``docs``.
+    """The columns but the text, the metrics, base_failed, host_rate (shrunk), host_failed and kept, one row for each of ``docs``.
 
     Texts are read once; only the counts are stored and joined.
     """
-    keep = [c for c in docs.columns if c != text and c not in METRICS and c not in ("base_failed", "kept")]
+    keep = [c for c in docs.columns if c != text and c not in METRICS and c not in ("base_failed", "host_rate", "host_failed", "kept")]
     rows = materialize(measured(docs, text, keep), "quality")
-    bad = bad_hosts(host_verdicts(rows, host)).withColumn("_qhit", F.lit(True))
-    rows = rows.join(bad, rows[host].eqNullSafe(bad["_qhost"]), "left")
-    return rows.withColumn("kept", ~F.col("base_failed") & F.col("_qhit").isNull()).drop("_qhost", "_qhit")
+    hosts = host_verdicts(rows, host)
+    hosts = hosts.select("_qhost", F.round("_qrate", 9).alias("host_rate"), F.col("_qbad").alias("host_failed"))
+    rows = rows.join(F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts, rows[host].eqNullSafe(hosts["_qhost"]), "left")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("_qhost")
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
@@ -128,9 +129,9 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, base_failed and kept of every document."""
+    """Counts, base_failed, the host's shrunk rate and verdict, and kept of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return judge(docs).select("doc_id", *METRICS, "base_failed", "kept")
+    return judge(docs).select("doc_id", *METRICS, "base_failed", "host_rate", "host_failed", "kept")
 
 
 ORACLE = r"""
@@ -147,7 +148,7 @@ f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_fa
 h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS k FROM f GROUP BY source),
 s AS (SELECT sum(k) / sum(n) AS mean, var_pop(k / n) - (sum(k) / sum(n)) * (1 - sum(k) / sum(n)) * avg(1 / n) AS extra FROM h),
 p AS (SELECT mean, CASE WHEN extra > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / extra - 1)) ELSE 1e6 END AS strength FROM s),
-v AS (SELECT source, (k + mean * strength) / (n + strength) > 0.5 AS bad FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+v AS (SELECT source, (k + mean * strength) / (n + strength) AS rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 9) AS host_rate, rate > 0.5 AS host_failed, NOT base_failed AND NOT rate > 0.5 AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
