@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, with_row_id
+from .common import fresh_path, numbered
 
 
 class Rule(NamedTuple):
@@ -68,7 +68,7 @@ def scan(docs: DataFrame, ledger: str, text: str = "text", rules=RULES) -> DataF
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     blob = F.unhex(F.sha2(body, 256))
-    rows = with_row_id(docs, "_suid")
+    rows = numbered(docs, "_suid")
     pairs = rows.select(blob.alias("_sblob"), "_suid").groupBy("_sblob").agg(F.min("_suid").alias("_suid"))
     pairs = pairs.withColumn("_srule", F.explode(F.lit([r.key for r in rules])))
     seen = read_ledger(spark, ledger)
@@ -79,7 +79,7 @@ def scan(docs: DataFrame, ledger: str, text: str = "text", rules=RULES) -> DataF
     each = [F.when(F.array_contains("_srules", r.key), F.struct(F.lit(r.key).alias("_srule"), matches(F.col("_stext"), r).alias("_sm"))) for r in rules]
     runs = found.select("_sblob", F.inline(F.filter(F.array(*each), lambda x: x.isNotNull())))
     runs.write.mode("append").parquet(ledger)
-    return docs.select(*[c for c in docs.columns if c != text], blob.alias("_sblob"))
+    return rows.select(*[c for c in docs.columns if c != text], blob.alias("_sblob"))
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
