@@ -87,7 +87,7 @@ class PieceModel:
         #: Ids whose text keeps a space at its start.
         self.bytes_of_byte = frozenset([*byte_ids, sp.unk_id()])
         self.sp = sp
-        self.cache: dict[str, tuple[bytes, int, bytes, bytes]] = {}
+        self.cache: dict[str, tuple[bytes, int, bytes]] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (or _NONE) and merged symbol of each pair."""
@@ -199,7 +199,7 @@ class PieceModel:
         return self.pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that the cache lacks: decimal ids, their number, decoded bytes and ids as 32-bit integers."""
+        """Encode the words that the cache lacks: decimal ids, their number and ids as 32-bit integers."""
         if len(self.cache) + len(words) > CACHE:
             self.cache.clear()
         new = [w for w in words if w not in self.cache]
@@ -207,7 +207,7 @@ class PieceModel:
             part = new[i : i + 20_000]
             for w, symbols in zip(part, self.merge_words(part)):
                 ids = self.ids_of(symbols, w)
-                self.cache[w] = (" ".join(map(str, ids)).encode(), len(ids), b"".join([self.bytes_of[x] for x in ids]), np.array(ids, np.int32).tobytes())
+                self.cache[w] = (" ".join(map(str, ids)).encode(), len(ids), np.array(ids, np.int32).tobytes())
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text, the end id last."""
@@ -226,6 +226,21 @@ class PieceModel:
         return text[1:] if first is not None and first not in self.bytes_of_byte and text.startswith(" ") else text
 
 
+    def decode_rows(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The texts, in UTF-8, of rows of ids of encoded texts that lie one after another: a lookup of each id's bytes."""
+        if not hasattr(self, "_spelt"):
+            sizes = np.array([len(x) for x in self.bytes_of])
+            self._spelt = np.frombuffer(b"".join(self.bytes_of), np.uint8), np.cumsum(sizes) - sizes, sizes, np.array([i not in self.bytes_of_byte for i in range(self.size)])
+        table, first, sizes, plain = self._spelt
+        size = sizes[ids]
+        upto = np.cumsum(size)
+        body = table[np.repeat(first[ids] - (upto - size), size) + np.arange(size.sum())].tobytes()
+        ends = np.r_[0, upto][np.cumsum(counts)].tolist()
+        heads = np.cumsum(counts) - counts
+        begins = [0, *ends[:-1]]
+        return [body[a + (b > a and body[a] == 32 and bool(plain[ids[h]])) : b] for a, b, h in zip(begins, ends, heads.tolist())]
+
+
 def encode_texts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """Add _pids (array<int>) to the rows, the end id last."""
     small_batches(docs.sparkSession)
@@ -265,7 +280,7 @@ def _mapped(docs: DataFrame, text: str, columns: dict[str, str], each, model: st
 def digests(docs: DataFrame, model: str, text: str = "text", ids_column: str | None = None) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of each row, instead of its text; and its ids if a column is named. No shuffle.
 
-    All are joined from the words' stored parts, so no Python list of all ids is built.
+    Ids are joined from the words' stored parts, so no Python list of all ids is built; the text is decoded from the ids.
     """
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in (text, ids_column, "n_tokens", "ids_sha256", "decoded_sha256")]
@@ -273,21 +288,21 @@ def digests(docs: DataFrame, model: str, text: str = "text", ids_column: str | N
 
     def batches(it):
         m = load(model)
-        end = str(m.end).encode()
+        end, last = str(m.end).encode(), np.array([m.end], np.int32).tobytes()
         for batch in it:
             whole = [m.words(t.decode()) for t in byte_texts(batch.column(text))]
             m.learn({w for ws in whole for w in ws})
-            n, ids, decoded = [], [], []
+            n, ids, raw = [], [], []
             for words in whole:
                 parts = [m.cache[w] for w in words]
                 n.append(sum([p[1] for p in parts]) + 1)
                 ids.append(hashlib.sha256(b" ".join([p[0] for p in parts] + [end])).hexdigest())
-                body = b"".join([p[2] for p in parts])
-                decoded.append(hashlib.sha256(body[1:]).hexdigest())
+                raw += [p[2] for p in parts]
+                raw.append(last)
+            flat = np.frombuffer(b"".join(raw), np.int32)
+            decoded = [hashlib.sha256(x).hexdigest() for x in m.decode_rows(flat, np.array(n, np.int64))]
             columns = [*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             if ids_column:
-                last = np.array([m.end], np.int32).tobytes()
-                flat = np.frombuffer(b"".join([x for words in whole for x in (*[m.cache[w][3] for w in words], last)]), np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,6 +19,9 @@ def test_like_the_library(text):
     ids = MODEL.encode(text)
     assert ids == SP.encode(text) + [SP.eos_id()]
     assert MODEL.decode(ids) == SP.decode(ids)
+    rows = [ids, MODEL.encode(""), MODEL.encode("b" + text)]
+    flat = np.array([x for r in rows for x in r])
+    assert [x.decode() for x in MODEL.decode_rows(flat, np.array([len(r) for r in rows]))] == [SP.decode(r) for r in rows]
 
 
 @settings(max_examples=100, deadline=None)
