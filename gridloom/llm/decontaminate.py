@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, bitmap, by_size, lower_bytes, materialize, mix, passes, small_batches, with_row_id, word_hashes
+from .common import U, bitmap, by_size, lower_bytes, materialize, mix, numbered, passes, small_batches, word_hashes
 
 #: Positions that each seed covers; together they hit every stretch of 12 words with 2 substitutions, 15 with 3 or 20 with 4.
 SEEDS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 5, 6, 7), (0, 1, 2, 6, 8, 9), (0, 1, 2, 4, 6, 7))
@@ -131,24 +131,26 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, in
 def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", uid: str = "_cuid") -> DataFrame:
     """(uid, item_id, doc_word, item_word, n_words, n_match, similarity) of each contaminating pair, its best stretch."""
     small_batches(docs.sparkSession)
-    bench = with_row_id(items.select(F.col(item_id).alias("name"), F.col(item_text).alias("text")).where("text IS NOT NULL"), "item")
+    bench = numbered(items.select(F.col(item_id).alias("name"), F.col(item_text).alias("text")).where("text IS NOT NULL"), "item")
     seeds = materialize(item_seeds(bench.select("item", "text")), "bench-seeds")
     found = materialize(possible(docs.select(F.col(uid).alias("uid"), F.col(text).alias("text")), bitmap(seeds, "h")), "bench-possible")
     hits = found.select("uid", F.inline("hits")).withColumnRenamed("at", "place").join(seeds, "h")
     hits = hits.select("uid", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
-    pairs = hits.join(found.select("uid", "words"), "uid")
-    pairs = pairs.join(_words_of(bench, "item").withColumnRenamed("words", "item_words"), "item").join(bench.select("item", "name"), "item")
-    pairs = pairs.select("uid", "item", "name", "shift", "words", "item_words")
+    named = _words_of(bench, "item").withColumnRenamed("words", "item_words").join(bench.select("item", "name"), "item")
+    asked = hits.join(named, "item").groupBy("uid").agg(F.collect_list(F.struct("item", "name", "shift", "item_words")).alias("asked"))
+    pairs = asked.join(found.select("uid", "words"), "uid").select("uid", "words", "asked")
     kind = "uid long, item long, name long, doc_word long, item_word long, n_words long, n_match long"
 
     def batches(it):
         for batch in it:
             out = []
-            for u, i, name, shift, w, v in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
-                item = np.frombuffer(v, U)
-                a, b, n, same = best_overlap(np.frombuffer(w, U), item, shift)
-                if n >= min(LEAST, len(item)):
-                    out.append((u, i, name, a, b, n, same))
+            for u, w, asked in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                doc = np.frombuffer(w, U)
+                for x in asked:
+                    item = np.frombuffer(x["item_words"], U)
+                    a, b, n, same = best_overlap(doc, item, x["shift"])
+                    if n >= min(LEAST, len(item)):
+                        out.append((u, x["item"], x["name"], a, b, n, same))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["uid", "item", "name", "doc_word", "item_word", "n_words", "n_match"])
 
@@ -158,14 +160,14 @@ def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The pairs of overlaps() with doc_id."""
-    rows = with_row_id(docs.select(F.col(doc_id).alias("_cid"), "text"), "_cuid")
+    rows = numbered(docs.select(F.col(doc_id).alias("_cid"), "text"), "_cuid")
     found = materialize(overlaps(rows, items), "bench-found")
     return rows.select("_cid", "_cuid").join(found, "_cuid").drop("_cuid").withColumnRenamed("_cid", doc_id)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    rows = with_row_id(docs, "_cuid")
+    rows = numbered(docs, "_cuid")
     found = materialize(overlaps(rows, items).select("_cuid").distinct(), "bench-found")
     return rows.join(found, "_cuid", "left_anti").drop("_cuid")
 

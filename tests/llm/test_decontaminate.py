@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -11,22 +12,8 @@ def words(text):
 
 
 def brute(docs, items):
-    """Pairs found by laying each item at every offset of each document that has a seed hit there."""
-    out = set()
-    for i, text in docs:
-        w = words(text)
-        for j, item in items:
-            v = words(item)
-            if len(v) < D.SPAN:
-                continue
-            for shift in {a - b for a, x in enumerate(w) for b, y in enumerate(v) if x == y}:
-                same = [0 <= k + shift < len(w) and w[k + shift] == v[k] for k in range(len(v))]
-                if sum(same) < 6 or not any(all(p + o < len(v) and same[p + o] for o in s) for s in D.SEEDS for p in range(len(v))):
-                    continue
-                best = max((sum(1 if x else -D.MISMATCH for x in same[a:b]), b - a) for a in range(len(v)) for b in range(a + 1, len(v) + 1) if all(0 <= k + shift < len(w) for k in range(a, b)))
-                if best[1] >= min(D.LEAST, len(v)):
-                    out.add((i, j))
-    return out
+    """Pairs by laying each item at every offset of each document: no seeds, no scores."""
+    return {(i, j) for i, text in docs for j, item in items if len(words(item)) >= D.SPAN and plain_overlap(words(text), words(item))}
 
 
 def test_seeds_find_two_substitutions_in_twelve_words():
@@ -69,12 +56,20 @@ def test_query(spark):
 
 def plain_overlap(w, v):
     """Whether some stretch of 12 words or more, or all of a shorter item, has 0.8 matching words at some offset. No seeds, no scores."""
-    for shift in range(-len(v), len(w)):
+    least = min(12, len(v))
+    if 5 * sum(x in set(w) for x in v) < 4 * least:
+        return False
+    places = {}
+    for i, x in enumerate(w):
+        places.setdefault(x, []).append(i)
+    shifts = Counter(i - j for j, y in enumerate(v) for i in places.get(y, ()))
+    for shift in (x for x, n in shifts.items() if 5 * n >= 4 * least):
         same = [0 <= k + shift < len(w) and w[k + shift] == v[k] for k in range(len(v))]
         inside = [0 <= k + shift < len(w) for k in range(len(v))]
+        upto = [0, *np.cumsum(same).tolist()]
         for a in range(len(v)):
-            for b in range(a + min(12, len(v)), len(v) + 1):
-                if all(inside[a:b]) and 5 * sum(same[a:b]) >= 4 * (b - a):
+            for b in range(a + least, len(v) + 1):
+                if inside[a] and inside[b - 1] and 5 * (upto[b] - upto[a]) >= 4 * (b - a):
                     return True
     return False
 
