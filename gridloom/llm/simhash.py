@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, connected_components, materialize, passes, small_batches, with_row_id
+from .common import bitmap, connected_components, materialize, numbered, passes, small_batches
 
 SHINGLE = 3
 RADIUS = 2
@@ -272,7 +272,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int
     Groups are linked by pairs whose k-word shingles have a Jaccard similarity of 0.8 or more; texts without words are alike.
     """
     small_batches(docs.sparkSession)
-    rows = with_row_id(docs, "_huid")
+    rows = numbered(docs, "_huid")
     bodies = rows.select(F.col(doc_id).alias("_hid"), "_huid", F.col(text).cast("binary").alias("_ht"))
     prints = materialize(_prefixes(bodies, k), "shingle-prints")
     first = F.min(F.struct(F.col("_hid").isNull(), "_hid", "_huid"))
