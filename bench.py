@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from gridloom import catalog
 
-NAMES = ["m09_snow_stats", "m08_apply_mask", "d01_mosaic_last", "i_indices", "m23_dequantize", "g12_overview"]
+NAMES = ["m09_snow_stats", "m08_apply_mask", "d01_mosaic_last", "i_indices", "m23_dequantize", "g12_overview", "n02_band_stats", "g15_rasterize", "l09_chip_metadata", "p05_blend", "u02_entropy"]
 
 
 def main():
