@@ -240,13 +240,35 @@ def _verified(pairs: DataFrame, rows: DataFrame, entries: DataFrame, k: int) ->
     return materialize(both.select("a", "b", "x", "y").mapInArrow(batches, "a long, b long"), "shingle-links")
 
 
+def _shared_keys(entries: DataFrame) -> DataFrame:
+    """(_hset, _hn, key) of the keys that several sets have, and of few others.
+
+    Most keys are of one set. One shuffle counts the keys alone; a bitmap of those that occur again then holds back
+    the others before sets are shuffled by them.
+    """
+    again = entries.select(F.explode("_hkeys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    again = materialize(again, "shingle-again")
+    shared = entries.sparkSession.sparkContext.broadcast(bitmap(again, "key", again.count()).tobytes())
+
+    def batches(it):
+        table = np.frombuffer(shared.value, np.uint8)
+        for batch in it:
+            lists = batch.column("_hkeys")
+            flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            stay = passes(table, flat.view(np.uint64))
+            of = np.repeat(np.arange(len(sizes)), sizes)[stay]
+            yield pa.RecordBatch.from_arrays([batch.column("_hset").take(pa.array(of)), batch.column("_hn").take(pa.array(of)), pa.array(flat[stay])], names=["_hset", "_hn", "key"])
+
+    return entries.select("_hset", "_hn", "_hkeys").mapInArrow(batches, "_hset long, _hn long, key long")
+
+
 def shingle_links(rows: DataFrame, entries: DataFrame, k: int, most: int = 2) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of sets with a Jaccard similarity of 0.8 or more.
 
     Sets that share a key of few meet in pairs. Those of a key of many are held against the least of them; only sets
     that are in another component then meet the sets of the key outside their own component.
     """
-    keys = entries.select("_hset", "_hn", F.explode("_hkeys").alias("key"))
+    keys = _shared_keys(entries)
     sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("_hset").alias("hub")).where("m > 1")
     shared = materialize(keys.join(sizes, "key"), "shingle-shared")
     few, dense = shared.where(F.col("m") <= most), shared.where(F.col("m") > most)
