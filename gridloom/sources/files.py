@@ -115,8 +115,12 @@ def lookup(px: DataFrame, table: DataFrame, key: str, value: str, default) -> Da
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path that nothing has used yet below the shared folder that the session names."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A path that nothing has used yet below the shared folder that the session names; a cluster must name one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
