@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, pieces, quality, secrets, simhash, substrings, tokens, urls, warc
+from . import decontaminate, lines, pieces, quality, resample, secrets, simhash, substrings, tokens, urls, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": urls.op10_url_filter,
+    "op12_importance_resampling": resample.op12_importance_resampling,
 }
 ORACLES = {
     "op6_quality_rules": quality.ORACLE,
     "op10_url_filter": urls.ORACLE,
+    "op12_importance_resampling": resample.ORACLE,
 }
