@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, pieces, quality, resample, secrets, simhash, substrings, tokens, urls, warc
+from . import decontaminate, lines, pieces, quality, resample, secrets, simhash, substrings, tokens, topk, urls, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": urls.op10_url_filter,
+    "op11_top_k": topk.op11_top_k,
     "op12_importance_resampling": resample.op12_importance_resampling,
 }
 ORACLES = {
     "op6_quality_rules": quality.ORACLE,
     "op10_url_filter": urls.ORACLE,
+    "op11_top_k": topk.ORACLE,
     "op12_importance_resampling": resample.ORACLE,
 }
