@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, pieces, quality, resample, secrets, simhash, substrings, tokens, topk, urls, warc
+from . import conversations, decontaminate, lines, pieces, quality, resample, secrets, simhash, substrings, tokens, topk, urls, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_url_filter": urls.op10_url_filter,
     "op11_top_k": topk.op11_top_k,
     "op12_importance_resampling": resample.op12_importance_resampling,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 ORACLES = {
     "op6_quality_rules": quality.ORACLE,
     "op10_url_filter": urls.ORACLE,
     "op11_top_k": topk.ORACLE,
     "op12_importance_resampling": resample.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
 }
