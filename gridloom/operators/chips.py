@@ -10,10 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .grid import Grid, chip_bounds
 from .mask import index
+from .order import numbered_in_order
 from .stats import normalise, seeded
 
 #: Codes of the label classes.
@@ -70,12 +70,11 @@ def chip_reason(size: int, ratio: float = 0.15, land: int = 50) -> Column:
 def chip_metadata(counts: DataFrame, size: int, grid: Grid, ratio: float = 0.15, land: int = 50) -> DataFrame:
     """The kept chips with sequential names in reading order, their place, box and centre in the grid, and their counts.
 
-    Names need one order over all chips: a window over a few numbers a chip, not over pixels.
+    Names need one order over all chips: range partitions of them are sorted, and numbered from their counts' prefix sums.
     """
-    kept = counts.where(chip_reason(size, ratio, land) == "created")
-    number = F.row_number().over(Window.orderBy(*CHIP)) - 1
+    kept = numbered_in_order(counts.where(chip_reason(size, ratio, land) == "created"), [F.asc(c) for c in CHIP], "_number", 0)
     kept = chip_bounds(kept, grid, size)
-    return kept.select(F.format_string("tile_%06d", number).alias("tile_id"), "xmin", "ymin", "xmax", "ymax", "center_x", "center_y", (F.col("chip_col") * size).alias("pixel_col"), (F.col("chip_row") * size).alias("pixel_row"), "n_valid_pixels", (F.col("n_labelled") / (size * size)).alias("label_ratio"), *[f"n_label_{n}" for n in CLASSES])
+    return kept.select(F.format_string("tile_%06d", "_number").alias("tile_id"), "xmin", "ymin", "xmax", "ymax", "center_x", "center_y", (F.col("chip_col") * size).alias("pixel_col"), (F.col("chip_row") * size).alias("pixel_row"), "n_valid_pixels", (F.col("n_labelled") / (size * size)).alias("label_ratio"), *[f"n_label_{n}" for n in CLASSES])
 
 
 def class_pixel_counts(px: DataFrame, label: str = "label") -> DataFrame:
@@ -86,7 +85,8 @@ def class_pixel_counts(px: DataFrame, label: str = "label") -> DataFrame:
 def channel_map(catalog: DataFrame, keep=()) -> DataFrame:
     """One row for each band of each predictor, numbered from 0 by (ord, band); the catalog has ord, name, n_bands and ``keep`` (file, group, normalised)."""
     one = catalog.select("ord", "name", *keep, F.explode(F.sequence(F.lit(1), F.col("n_bands").cast("int"))).alias("band"))
-    return one.select((F.row_number().over(Window.orderBy("ord", "band")) - 1).alias("channel_idx"), F.col("name").alias("predictor"), "band", *keep)
+    one = numbered_in_order(one, [F.asc("ord"), F.asc("band")], "_number", 0)
+    return one.select(F.col("_number").cast("int").alias("channel_idx"), F.col("name").alias("predictor"), "band", *keep)
 
 
 def resolve_channels(channels: DataFrame, wanted: DataFrame) -> DataFrame:

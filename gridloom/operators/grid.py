@@ -249,6 +249,27 @@ def by_block(polys: DataFrame, size: int, margin: float = 0.0) -> DataFrame:
     return polys.withColumn("_br", span("_y0", "_y1")).withColumn("_sides", near).withColumn("_bc", span("_x0", "_x1"))
 
 
+def crosses_rect(side, x0, y0, x1, y1) -> Column:
+    """Whether a side meets a closed rectangle: their boxes overlap, and its line doesn't leave all corners on one hand."""
+    p, q = side["p"], side["q"]
+    over = lambda c, low, high: (F.least(p[c], q[c]) <= high) & (F.greatest(p[c], q[c]) >= low)
+    hand = [(q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"]) for x in (x0, x1) for y in (y0, y1)]
+    return over("x", x0, x1) & over("y", y0, y1) & (F.least(*hand) <= 0) & (F.greatest(*hand) >= 0)
+
+
+def classed_blocks(polys: DataFrame, size: int) -> DataFrame:
+    """The closed blocks of size x size pixels that a polygon meets: _br, _bc, and _sides of its rows, NULL where the block is wholly inside."""
+    boxes = boxed(polys)
+    rows, cols = (F.sequence(F.ceil(F.col(low) / size) - 1, F.floor(F.col(high) / size)) for low, high in (("_y0", "_y1"), ("_x0", "_x1")))
+    top, bottom = F.col("_br") * size, (F.col("_br") + 1) * size
+    near = F.filter("_sides", lambda s: (F.least(s["p"]["y"], s["q"]["y"]) <= bottom) & (F.greatest(s["p"]["y"], s["q"]["y"]) >= top))
+    blocks = boxes.withColumn("_br", F.explode(rows)).withColumn("_sides", near).withColumn("_bc", F.explode(cols))
+    left, right = F.col("_bc") * size, (F.col("_bc") + 1) * size
+    edge = F.exists("_sides", lambda s: crosses_rect(s, left, top, right, bottom))
+    blocks = blocks.withColumn("_edge", edge).where(F.col("_edge") | inside("_sides", left, top))
+    return blocks.withColumn("_sides", F.when(F.col("_edge"), F.col("_sides"))).drop("_edge", "_x0", "_x1", "_y0", "_y1")
+
+
 def join_polygons(px: DataFrame, polys: DataFrame, carry: list[str], size: int = 32, within: float = 0.0) -> DataFrame:
     """Pixels with each polygon that holds their centre (or lies within a distance), in pixel units.
 
@@ -271,10 +292,16 @@ def rasterize(px: DataFrame, polys: DataFrame, label: str, background: int = 0,
     return px.join(top, ["px_row", "px_col"], "left").withColumn("label", F.coalesce("label", F.lit(background)))
 
 
-def tile_hits(polys: DataFrame, size: int) -> DataFrame:
-    """The chips that the box of any polygon touches."""
-    hit = by_block(boxed(polys), size)
-    return hit.select(F.col("_br").cast("bigint").alias("chip_row"), F.col("_bc").cast("bigint").alias("chip_col")).distinct()
+def tile_hits(polys: DataFrame, size: int, rows: int | None = None, cols: int | None = None) -> DataFrame:
+    """The chips that any polygon meets, touching included; those of a raster of rows x cols chips, where these are given.
+
+    Blocks of the polygon's box, then an exact test: a side crosses the chip, or the chip lies inside.
+    """
+    hit = classed_blocks(polys, size).select(F.col("_br").cast("bigint").alias("chip_row"), F.col("_bc").cast("bigint").alias("chip_col")).distinct()
+    for c, n in (("chip_row", rows), ("chip_col", cols)):
+        if n is not None:
+            hit = hit.where(F.col(c).between(0, n - 1))
+    return hit
 
 
 def erase_buffer(px: DataFrame, polys: DataFrame, within: float, value: str, size: int = 32) -> DataFrame:
@@ -283,8 +310,14 @@ def erase_buffer(px: DataFrame, polys: DataFrame, within: float, value: str, siz
     return px.join(hits, ["px_row", "px_col"], "left").withColumn(value, F.when(F.col("_hit").isNull(), F.col(value))).drop("_hit")
 
 
-def clip_by_key(px: DataFrame, polys: DataFrame, key: str) -> DataFrame:
-    """Each raster's pixels inside the one polygon of its key; keys with no or several polygons give nothing."""
+def clip_by_key(px: DataFrame, polys: DataFrame, key: str, size: int = 32) -> DataFrame:
+    """Each raster's pixels inside the one polygon of its key; keys with no or several polygons give nothing.
+
+    An equi-join on key and block: pixels of blocks wholly inside pass, those of edge blocks are tested against the
+    sides that cross their block's rows, others meet nothing.
+    """
     one = polys.groupBy(key).agg(F.count("*").alias("_n"), F.any_value("rings").alias("rings")).where("_n = 1")
-    shapes = boxed(one).select(key, "_sides")
-    return px.join(shapes, key).where(inside("_sides", F.col("px_col") + 0.5, F.col("px_row") + 0.5)).drop("_sides")
+    shapes = classed_blocks(one, size).select(key, "_br", "_bc", "_sides")
+    at = {"_br": F.floor((F.col("px_row") + 0.5) / size), "_bc": F.floor((F.col("px_col") + 0.5) / size)}
+    hit = F.col("_sides").isNull() | inside("_sides", F.col("px_col") + 0.5, F.col("px_row") + 0.5)
+    return px.withColumns(at).join(shapes, [key, "_br", "_bc"]).where(hit).drop("_br", "_bc", "_sides")

@@ -9,11 +9,14 @@ import heapq
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import numbered_in_order
+
 PIXEL = ("px_row", "px_col")
 
 
@@ -63,6 +66,49 @@ def predict_windows(windows: DataFrame, model, schema: str) -> DataFrame:
     return windows.groupBy("row0", "col0").applyInPandas(model, schema)
 
 
+def predict_blocks(px: DataFrame, bands: list[str], height: int, width: int, size: int, step: int, model: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], n_classes: int, block: int = 256) -> DataFrame:
+    """P2 to P5 by blocks: each pixel's mean class probabilities over its windows, as blend() gives them, by one shuffle.
+
+    A task takes one block of block x block pixels and the ``size - 1`` pixels around it, cuts all windows that cover
+    its pixels, runs the model on those with a valid pixel and keeps the means of its own pixels. A pixel is sent to
+    its block and those whose border it lies in: (1 + 2 (size - 1) / block)^2 copies, 1.5 with windows of 32, where
+    one row for each window makes (size / step)^2. Windows over a border are predicted by each of its blocks.
+    ``model`` takes windows [n, size, size, bands] and their first rows and columns, and gives [n, size, size, classes].
+    Pixels in no window with a valid pixel are left out; those without all bands have weight 0.
+    """
+    rows, cols, reach = np.array(starts(height, size, step)), np.array(starts(width, size, step)), size - 1
+
+    def near(at: str, n: int) -> Column:
+        last = -(-n // block) - 1
+        low, high = F.floor((F.col(at) - reach) / block), F.floor((F.col(at) + reach) / block)
+        return F.explode(F.sequence(F.greatest(F.lit(0), low), F.least(F.lit(last), high)))
+
+    def run(pdf):
+        r0, c0 = (int(pdf[k].iloc[0]) * block - reach for k in ("_br", "_bc"))
+        r, c = pdf["px_row"].to_numpy() - r0, pdf["px_col"].to_numpy() - c0
+        side = block + 2 * reach + size  # windows at the raster's edge may end past it
+        values, given = np.zeros((side, side, len(bands))), np.zeros((side, side), bool)
+        given[r, c], values[r, c] = True, pdf[bands].to_numpy(np.float64)
+        valid = given & ~np.isnan(values).any(axis=2)
+        values = np.nan_to_num(values)
+        top, left = (x[(x + size > o + reach) & (x < o + reach + block)] for x, o in ((rows, r0), (cols, c0)))
+        at = np.array([(y, x) for y in top for x in left if valid[y - r0 : y - r0 + size, x - c0 : x - c0 + size].any()], np.int64).reshape(-1, 2)
+        total, weight, seen = np.zeros((side, side, n_classes)), np.zeros((side, side)), np.zeros((side, side), bool)
+        for some in np.array_split(at, -(-len(at) // 64)) if len(at) else []:
+            cuts = [(slice(y - r0, y - r0 + size), slice(x - c0, x - c0 + size)) for y, x in some]
+            for cut, p in zip(cuts, model(np.stack([values[cut] for cut in cuts]), some[:, 0], some[:, 1])):
+                total[cut] += p * valid[cut][..., None]
+                weight[cut] += valid[cut]
+                seen[cut] = True
+        own = (r >= reach) & (r < reach + block) & (c >= reach) & (c < reach + block) & seen[r, c]
+        r, c = r[own], c[own]
+        mean = np.divide(total[r, c], weight[r, c, None], out=np.zeros((len(r), n_classes)), where=weight[r, c, None] > 0)
+        return type(pdf)({"px_row": r + r0, "px_col": c + c0, "weight": weight[r, c], "p": list(mean)})
+
+    sent = px.select(*PIXEL, *[F.col(b).cast("double").alias(b) for b in bands]).withColumn("_br", near("px_row", height)).withColumn("_bc", near("px_col", width))
+    return sent.groupBy("_br", "_bc").applyInPandas(run, "px_row long, px_col long, weight double, p array<double>")
+
+
 def blend(pred: DataFrame, n_classes: int, keys=PIXEL) -> DataFrame:
     """P5: the mean over windows of each pixel's probabilities, where valid; 0 without any. Partial sums precede the shuffle."""
     w = F.col("valid").cast("double")
@@ -233,15 +279,19 @@ def stratified(df: DataFrame, n: int, order: Column, label: str = "label") -> Da
 
 
 def kfold(chips: DataFrame, k: int, order: Column) -> DataFrame:
-    """C4: a fold for each chip by a repeatable shuffle; folds differ by one chip at most. One task orders one row a chip."""
-    return chips.withColumn("fold", F.ntile(k).over(Window.orderBy(order)) - 1)
+    """C4: a fold for each chip by a repeatable shuffle; folds differ by one chip at most, the first ones having one more."""
+    ranked = numbered_in_order(chips, [order], "_rank", 0)
+    q, more = divmod(ranked.count(), k)
+    high = (q + 1) * more
+    fold = F.when(F.col("_rank") < high, F.expr(f"_rank DIV {q + 1}")).otherwise(F.expr(f"{more} + (_rank - {high}) DIV {max(q, 1)}"))
+    return ranked.withColumn("fold", fold.cast("int")).drop("_rank")
 
 
 def split(chips: DataFrame, order: Column, test: float = 0.2) -> DataFrame:
     """C4: add is_train: false for the last ``test`` of the chips (rounded up) by a repeatable shuffle."""
-    n = chips.agg(F.count("*").alias("_n"))
-    ranked = chips.withColumn("_rank", F.row_number().over(Window.orderBy(order))).crossJoin(F.broadcast(n))
-    return ranked.withColumn("is_train", F.col("_rank") <= F.col("_n") - F.ceil(test * F.col("_n"))).drop("_rank", "_n")
+    ranked = numbered_in_order(chips, [order], "_rank")
+    n = ranked.count()
+    return ranked.withColumn("is_train", F.col("_rank") <= n - math.ceil(test * n)).drop("_rank")
 
 
 def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:

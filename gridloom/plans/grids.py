@@ -108,7 +108,7 @@ def g15_rasterize(spark, sf_dir):
 
 
 def g16_tile_hits(spark, sf_dir):
-    return G.tile_hits(polygons(spark, sf_dir), CHIP)
+    return G.tile_hits(polygons(spark, sf_dir), CHIP, 256 // CHIP, 256 // CHIP)
 
 
 def g17_erase_buffer(spark, sf_dir):
@@ -181,7 +181,7 @@ ORACLES = {
     "g13_clip_rect": oracle("SELECT px_row - 40 AS px_row, px_col - 60 AS px_col, b1 FROM scene WHERE px_row BETWEEN 40 AND 139 AND px_col BETWEEN 60 AND 179", "scene"),
     "g14_clip_by_key": oracle(f"SELECT basin, px_row, px_col, l_orderkey, l_linenumber, b1 FROM (SELECT l_suppkey AS basin, *, {_XY} FROM scene_px) JOIN (SELECT *, CASE WHEN poly_id % 10 = 3 THEN poly_id - 1 ELSE poly_id END AS basin, count(*) OVER (PARTITION BY CASE WHEN poly_id % 10 = 3 THEN poly_id - 1 ELSE poly_id END) AS n FROM label_polys) USING (basin) WHERE n = 1 AND {_IN}", "scene_px", "label_polys"),
     "g15_rasterize": oracle(f"SELECT g.px_row, g.px_col, coalesce(max_by(CASE cls WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, poly_id), 0) AS label FROM (SELECT px_row, px_col, {_XY} FROM land_mask) g LEFT JOIN (SELECT * FROM label_polys WHERE cls IS NOT NULL) ON {_IN} GROUP BY 1, 2", "land_mask", "label_polys"),
-    "g16_tile_hits": oracle("SELECT DISTINCT r.i AS chip_row, c.i AS chip_col FROM range(8) r(i), range(8) c(i), label_polys WHERE r.i BETWEEN floor(y0/32) AND floor((y0+w)/32) AND c.i BETWEEN floor(x0/32) AND floor((x0+w)/32)", "label_polys"),
+    "g16_tile_hits": oracle("SELECT DISTINCT r.i AS chip_row, c.i AS chip_col FROM range(8) r(i), range(8) c(i), label_polys WHERE r.i * 32 + 32 >= y0 AND c.i * 32 + 32 >= x0 AND CASE WHEN shape = 'box' THEN r.i * 32 <= y0 + w AND c.i * 32 <= x0 + w ELSE greatest(r.i * 32 - y0, 0) + greatest(c.i * 32 - x0, 0) <= w END", "label_polys"),
     "g17_erase_buffer": oracle(f"SELECT px_row, px_col, CASE WHEN NOT EXISTS (SELECT 1 FROM label_polys WHERE ({_IN}) OR CASE WHEN shape = 'box' THEN {_NEAR['box']} ELSE {_NEAR['triangle']} END) THEN b1 END AS b1 FROM (SELECT px_row, px_col, b1, {_XY} FROM scene)", "scene", "label_polys"),
     "d07_join_polygons": oracle(f"SELECT px_row, px_col, poly_id FROM (SELECT px_row, px_col, {_XY} FROM scene) JOIN label_polys ON {_IN}", "scene", "label_polys"),
     "s02_blocks": oracle("SELECT px_row // 100 AS block_row, px_col // 100 AS block_col, count(*) AS n, arg_min(b1, px_row * 1000 + px_col) AS first_b1, arg_max(b1, px_row * 1000 + px_col) AS last_b1 FROM scene GROUP BY 1, 2", "scene"),
