@@ -3,19 +3,94 @@
 from __future__ import annotations
 
 import io
+import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def discover(spark: SparkSession, root: str, exts=("tif", "tiff")) -> DataFrame:
-    """S3: path, name, length and time of raster files below a folder, the preferred extension first where a name has several."""
+#: First bytes of raster files and what they tell: byte order, and whether offsets have 64 bits.
+TIFF_HEADS = {b"II*\0": ("<", False), b"MM\0*": (">", False), b"II+\0": ("<", True), b"MM\0+": (">", True)}
+#: Numbers of the tags that a probe looks for, and of the types that their values may have.
+TIFF_TAGS = {256: "width", 257: "height", 277: "bands"}
+TIFF_TYPES = {3: "H", 4: "I", 16: "Q"}
+_PROBE = "path string, length long, modificationTime timestamp, name string, rank int, status string, width long, height long, bands long"
+
+
+def discover(spark: SparkSession, root: str, exts=("tif", "tiff"), names: list[str] | None = None, probe: bool = False) -> DataFrame:
+    """S3: path, name, length and time of raster files below a folder, the preferred extension first where a name has several.
+
+    ``names`` asks for some names only (without extension, case counts); one without a file has a null path. With
+    ``probe``, files whose head can be read come before others of their name, and status, width, height and bands
+    are added: ok, empty, not a raster, truncated (its directory is past the end), unreadable, or missing for an
+    asked name. A probe runs in the tasks, a file at a time, and reads the head and the first directory only.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(exts)}}}").load(root).select("path", "length", "modificationTime")
     base = F.element_at(F.split("path", "/"), -1)
-    files = files.withColumns({"name": F.regexp_replace(base, r"\.[^.]*$", ""), "_ext": F.lower(F.substring_index(base, ".", -1))})
-    order = F.struct(F.array_position(F.array(*map(F.lit, exts)), F.col("_ext")), F.col("path"))
-    return files.groupBy("name").agg(F.min_by(F.struct("path", "length", "modificationTime"), order).alias("_f")).select("name", "_f.*")
+    rank = F.array_position(F.array(*map(F.lit, exts)), F.lower(F.substring_index(base, ".", -1))).cast("int")
+    files = files.withColumns({"name": F.regexp_replace(base, r"\.[^.]*$", ""), "rank": rank})
+    if names is not None:
+        wanted = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+        files = files.join(wanted, "name", "left_semi")
+    told = ["path", "length", "modificationTime"]
+    order = [F.col("rank"), F.col("path")]
+    if probe:
+        files = files.select(*told, "name", "rank").repartition("path").mapInArrow(_probe, _PROBE)
+        told += ["status", "width", "height", "bands"]
+        order.insert(0, F.col("status") != "ok")
+    found = files.groupBy("name").agg(F.min_by(F.struct(*told), F.struct(*order)).alias("_f")).select("name", "_f.*")
+    if names is not None:
+        found = wanted.join(found, "name", "left")
+        if probe:
+            found = found.withColumn("status", F.coalesce("status", F.lit("missing")))
+    return found
+
+
+def _probe(batches):
+    """Rows of _PROBE for rows of its first five columns."""
+    import pyarrow as pa
+
+    for batch in batches:
+        heads = [_tiff_head(*x) for x in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist())]
+        told = [pa.array([h.get(k) for h in heads], pa.string() if k == "status" else pa.int64()) for k in ("status", "width", "height", "bands")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[x.split()[0] for x in _PROBE.split(", ")])
+
+
+def _tiff_head(path: str, length: int) -> dict:
+    """Status, and size and bands where the file's first directory tells them (one band where it doesn't)."""
+    import struct
+
+    from pyarrow import fs
+
+    if not length:
+        return {"status": "empty"}
+    try:
+        local = re.fullmatch(r"(?:file:)?/+(.*)", path, re.S)
+        store, at = (fs.LocalFileSystem(), f"/{local[1]}") if local else fs.FileSystem.from_uri(path)
+        with store.open_input_file(at) as f:
+            head = f.read(16)
+            if head[:4] not in TIFF_HEADS:
+                return {"status": "not a raster"}
+            order, big = TIFF_HEADS[head[:4]]
+            number, word, entry = ("Q", "Q", 20) if big else ("H", "I", 12)
+            size, width = struct.calcsize(order + number), struct.calcsize(order + word)
+            (start,) = struct.unpack_from(order + word, head, 8 if big else 4)
+            f.seek(start)
+            (n,) = struct.unpack(order + number, f.read(size))
+            raw = f.read(n * entry)
+    except struct.error:
+        return {"status": "truncated"}
+    except OSError:
+        return {"status": "unreadable"}
+    if len(raw) < n * entry or not n:
+        return {"status": "truncated"}
+    out = {"status": "ok", "bands": 1}
+    for i in range(n):
+        tag, kind = struct.unpack_from(order + "HH", raw, i * entry)
+        if tag in TIFF_TAGS and kind in TIFF_TYPES:
+            out[TIFF_TAGS[tag]] = struct.unpack_from(order + TIFF_TYPES[kind], raw, i * entry + 4 + width)[0]
+    return out if "width" in out and "height" in out else {"status": "truncated"}
 
 
 def split_predictors(catalog: DataFrame, mark: str = "sentinel") -> DataFrame:
@@ -74,6 +149,19 @@ def read_report(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def write_observed(px: DataFrame, path: str, counts: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Write ``px``, and return one row of ``counts`` (aggregates over its rows) that were taken while writing.
+
+    The counts come with the write's own job, so the input is read once. A stage that Spark has to run again may
+    count its rows again; where that matters, count the stored table.
+    """
+    watch = Observation()
+    watched = px.observe(watch, *[c.alias(k) for k, c in counts.items()])
+    writer = watched.write
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return px.sparkSession.createDataFrame([tuple(watch.get[k] for k in counts)], px.limit(0).agg(*[c.alias(k) for k, c in counts.items()]).schema)
+
+
 def write_raster(px: DataFrame, path: str, raster: str, block: int = 256) -> None:
     """Pixels stored by raster and by row of blocks, so that a scan of a window reads those files alone."""
     px.withColumn("block_row", F.floor(F.col("px_row") / block).cast("int")).write.partitionBy(raster, "block_row").parquet(path)
