@@ -103,7 +103,9 @@ def predict_blocks(px: DataFrame, bands: list[str], height: int, width: int, siz
         own = (r >= reach) & (r < reach + block) & (c >= reach) & (c < reach + block) & seen[r, c]
         r, c = r[own], c[own]
         mean = np.divide(total[r, c], weight[r, c, None], out=np.zeros((len(r), n_classes)), where=weight[r, c, None] > 0)
-        return type(pdf)({"px_row": r + r0, "px_col": c + c0, "weight": weight[r, c], "p": list(mean)})
+        out = type(pdf)({"px_row": r + r0, "px_col": c + c0, "weight": weight[r, c]})
+        out["p"] = np.fromiter(mean, object, len(mean))
+        return out
 
     sent = px.select(*PIXEL, *[F.col(b).cast("double").alias(b) for b in bands]).withColumn("_br", near("px_row", height)).withColumn("_bc", near("px_col", width))
     return sent.groupBy("_br", "_bc").applyInPandas(run, "px_row long, px_col long, weight double, p array<double>")

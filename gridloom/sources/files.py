@@ -23,8 +23,8 @@ def discover(spark: SparkSession, root: str, exts=("tif", "tiff"), names: list[s
 
     ``names`` asks for some names only (without extension, case counts); one without a file has a null path. With
     ``probe``, files whose head can be read come before others of their name, and status, width, height and bands
-    are added: ok, empty, not a raster, truncated (its directory is past the end), unreadable, or missing for an
-    asked name. A probe runs in the tasks, a file at a time, and reads the head and the first directory only.
+    are added: ok, not a raster, truncated (its directory is past the end), unreadable, or missing for an asked name;
+    an empty file counts as missing, as the reader lists none. A probe runs in the tasks, a file at a time, and reads the head and the first directory only.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(exts)}}}").load(root).select("path", "length", "modificationTime")
     base = F.element_at(F.split("path", "/"), -1)
@@ -52,19 +52,17 @@ def _probe(batches):
     import pyarrow as pa
 
     for batch in batches:
-        heads = [_tiff_head(*x) for x in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist())]
+        heads = [_tiff_head(x) for x in batch.column("path").to_pylist()]
         told = [pa.array([h.get(k) for h in heads], pa.string() if k == "status" else pa.int64()) for k in ("status", "width", "height", "bands")]
         yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[x.split()[0] for x in _PROBE.split(", ")])
 
 
-def _tiff_head(path: str, length: int) -> dict:
+def _tiff_head(path: str) -> dict:
     """Status, and size and bands where the file's first directory tells them (one band where it doesn't)."""
     import struct
 
     from pyarrow import fs
 
-    if not length:
-        return {"status": "empty"}
     try:
         local = re.fullmatch(r"(?:file:)?/+(.*)", path, re.S)
         store, at = (fs.LocalFileSystem(), f"/{local[1]}") if local else fs.FileSystem.from_uri(path)
