@@ -120,15 +120,19 @@ def c17_valid_mask(spark, sf_dir):
     return px.select("px_row", "px_col", L.valid_mask(F.array(*M.BANDS)).alias("valid"))
 
 
+#: Rows sampled for a model, and folds.
+SAMPLE, FOLDS = 50_000, 5
+
+
 def _samples(spark, sf_dir):
-    """Stored training rows: the scene's pixels with a class from three bands, a spatial block's fold and balanced weights."""
+    """Stored training rows: the stratified sample of the scene's pixels with a class from three bands, a spatial block's fold and balanced weights."""
     score = (F.col("b2") + F.col("b7")) / 700 + F.col("b4") / 2000
     px = clean(spark, sf_dir).select("px_row", "px_col", *FEATURES).na.drop().withColumn("label", F.pmod(F.floor(score), F.lit(3)).cast("int"))
-    px = px.withColumn("block", P.block_id(64, 256))
-    folds = P.group_kfold(px, "block", 5).select("block", "fold")
+    px = P.stratified(px, SAMPLE, N.seeded(42, "px_row", "px_col")).withColumn("block", P.block_id(64, 256))
+    folds = P.group_kfold(px, "block", FOLDS).select("block", "fold")
     px = px.join(folds, "block").join(F.broadcast(P.balanced_weights(px)), "label")
     path = S.scratch(spark, "samples")
-    px.write.parquet(path)
+    px.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)  # a bounded sample: one part a core to fit on
     return spark.read.schema(px.schema).parquet(path)
 
 
@@ -136,27 +140,36 @@ def _forest(df):
     return T.fit_rf(df, FEATURES, weight="weight")
 
 
+def _counts(preds):
+    return preds.groupBy("label", "pred").agg(F.count("*").alias("n"))
+
+
 def c06_fit_rf(spark, sf_dir):
-    """Confusion counts of the forest on the rows that it was fitted on."""
+    """Confusion counts of the final forest on the rows that it was fitted on."""
     px = _samples(spark, sf_dir)
-    return T.predicted(_forest(px), px).groupBy("label", "pred").agg(F.count("*").alias("n"))
+    return _counts(T.predicted(_forest(px), px))
+
+
+def c06_held_out(spark, sf_dir):
+    """Confusion counts of a forest on the first fold, which it wasn't fitted on."""
+    px = _samples(spark, sf_dir)
+    return _counts(T.predicted(_forest(px.where("fold <> 0")), px.where("fold = 0")))
 
 
 def c07_cross_validate(spark, sf_dir):
     """The classification report of pooled predictions of five spatial folds."""
-    preds, _ = T.cross_validate(_samples(spark, sf_dir), FEATURES, "fold", 5, lambda df: T.fit_rf(df, FEATURES, weight="weight", trees=20, depth=10))
-    return rounded(P.classification_report(preds))
+    return rounded(P.classification_report(T.cross_validate(_samples(spark, sf_dir), FEATURES, "fold", FOLDS, _forest)[0]))
 
 
 def c08_fit_gbt(spark, sf_dir):
-    """As c06, by boosted trees of few rounds."""
-    px = _samples(spark, sf_dir)
-    return T.predicted(T.fit_gbt(px, FEATURES, rounds=5, depth=5), px).groupBy("label", "pred").agg(F.count("*").alias("n"))
+    """As c06_held_out, by boosted trees whose rounds end by the loss on the second fold."""
+    px = _samples(spark, sf_dir).withColumn("held", F.col("fold") == 1)
+    return _counts(T.predicted(T.fit_gbt(px.where("fold <> 0"), FEATURES, held="held"), px.where("fold = 0")).drop("held"))
 
 
 def c10_importances(spark, sf_dir):
-    """The two features with the highest importance of the final model."""
-    return T.ranking(T.importances(T.fit_rf(_samples(spark, sf_dir), FEATURES, weight="weight", trees=20, depth=10), spark), FEATURES, 2)
+    """The two features with the highest mean importance over the folds."""
+    return T.ranking(T.cross_validate(_samples(spark, sf_dir), FEATURES, "fold", FOLDS, _forest)[1], FEATURES, 2)
 
 
 def s07_read_polygons(spark, sf_dir):

@@ -1,6 +1,7 @@
 import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,38 @@ def test_forest_learns_and_ranks(spark):
 def test_rows_of_model_queries(spark):
     assert sum(r["n"] for r in catalog.QUERIES["c06_fit_rf"](spark, SF).collect()) > 5000
     assert catalog.QUERIES["c10_importances"](spark, SF).count() == 2
+
+
+def test_nodes_walked_by_sql_and_joins(spark, tmp_path):
+    """A forest's predictions from its node table: by joins, and by a recursive query of another engine."""
+    px = spark.range(600).selectExpr("id", "(id * 37) % 101 / 10D AS a", "(id * 53) % 97 * 1D AS b").withColumn("label", ((F.col("a") > 4).cast("int") + (F.col("b") > 60).cast("int") * F.when(F.col("id") % 9 > 0, 1).otherwise(0)).cast("int"))
+    px.write.parquet(str(tmp_path / "px"))
+    px = spark.read.parquet(str(tmp_path / "px"))
+    trees, depth = 12, 9
+    model = T.fit_rf(px, ["a", "b"], trees=trees, depth=depth)
+    nodes = T.node_table(model, spark)
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    want = {r.id: r.pred for r in T.predicted(model, px).collect()}
+    walked = T.walk(px, "id", ["a", "b"], nodes, trees, depth)
+    assert {r.id: r.pred for r in walked.collect()} == want and len(set(want.values())) == 3
+    assert T.walk(px.limit(0), "id", ["a", "b"], nodes, trees, depth).count() == 0
+    sql = f"""WITH RECURSIVE nodes AS (SELECT * FROM '{tmp_path}/nodes/*.parquet'), px AS (SELECT * FROM '{tmp_path}/px/*.parquet'),
+    w AS (SELECT id, a, b, tree, 0 AS node FROM px, (SELECT DISTINCT tree FROM nodes)
+      UNION ALL SELECT id, a, b, w.tree, CASE WHEN (CASE n.feature WHEN 0 THEN a ELSE b END) <= threshold THEN n."left" ELSE n."right" END FROM w JOIN nodes n USING (tree, node) WHERE n.feature IS NOT NULL),
+    v AS (SELECT id, k, sum(votes[k + 1]) AS s FROM w JOIN nodes USING (tree, node), range(3) r(k) WHERE votes IS NOT NULL GROUP BY 1, 2)
+    SELECT id, arg_max(k, (s, -k)) FROM v GROUP BY 1"""
+    assert dict(duckdb.sql(sql).fetchall()) == want
+
+
+def test_boosting_ends_by_held_rows(spark):
+    px = spark.range(400).selectExpr("id", "id % 20 * 1D AS a", "id % 7 * 1D AS b", "CAST(id % 20 > 9 AS int) AS label", "id % 4 = 0 AS held")
+    model = T.fit_gbt(px, ["a", "b"], rounds=40, depth=3, rate=0.5, held="held", tol=0.2)
+    kept = [m.getNumTrees for m in model.stages[-1].models]
+    assert max(kept) < 40
+    assert T.predicted(model, px).where("pred <> label").count() == 0
+
+
+def test_held_out_counts(spark):
+    counts = {(r["label"], r["pred"]): r["n"] for r in catalog.QUERIES["c06_held_out"](spark, SF).collect()}
+    n = sum(counts.values())
+    assert 800 < n < 2000 and sum(v for (a, b), v in counts.items() if a == b) > 0.7 * n
