@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -98,3 +100,57 @@ def test_substitutions_end_to_end(spark):
     got = D.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 200
     assert all(r.similarity >= 0.8 for r in got)
+
+
+def test_repetitive_texts(spark):
+    """A long text of one word against many items of the same word, and texts of a few words repeated."""
+    items = [(j, "same " * (100 + j % 7)) for j in range(200)] + [(900, "ab cd " * 40), (901, "ab cd ef " * 30)]
+    docs = [(0, "same " * 20_000), (1, "ab cd " * 3000), (2, "same other " * 50), (3, "ab cd ef " * 4 + "x")]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    start = time.time()
+    got = D.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert time.time() - start < 60
+    pairs = {(r.doc_id, r.item_id): (r.doc_word, r.item_word, r.n_words, r.n_match) for r in got}
+    assert pairs == {(0, j): (0, 0, 100 + j % 7, 100 + j % 7) for j in range(200)} | {(1, 900): (0, 0, 80, 80), (3, 901): (0, 78, 12, 12)}
+    assert len(got) == len(pairs)
+
+
+def test_many_offsets_at_a_time():
+    """best_of() over random texts of few words equals one offset after the other."""
+    r = random.Random(3)
+    for _ in range(1500):
+        v, m, n = r.choice([2, 3, 30]), r.choice([1, 3, 6, 8, 13, 30, 60]), r.choice([1, 5, 20, 80, 200])
+        item, doc = (np.array([r.randrange(v) for _ in range(k)], np.uint64) for k in (m, n))
+        if n > m and r.random() < 0.6:
+            at = r.randrange(n - m + 1)
+            doc[at : at + m] = item
+            for _ in range(m // 6):
+                doc[at + r.randrange(m)] = 99
+        shifts = np.arange(-m, n + 1)
+        shifts = shifts if r.random() < 0.5 else np.array(sorted(r.sample(shifts.tolist(), len(shifts) // 2)), np.int64)
+        found = [(same, -a, b, k) for a, b, k, same in (D.best_overlap(doc, item, s) for s in shifts.tolist()) if k >= min(D.LEAST, m)]
+        want = None if not found else (-max(found)[1], *max(found)[2:], max(found)[0])
+        assert D.best_of(doc, item, shifts) == want
+
+
+def test_offsets_are_all_differences():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        shared = [(np.sort(r.choice(50, r.integers(1, 9), False)), np.sort(r.choice(20, r.integers(1, 9), False))) for _ in range(3)]
+        assert D.offsets(50, 20, shared).tolist() == sorted({p - a for places, ats in shared for p in places.tolist() for a in ats.tolist()})
+
+
+def test_tiny_items_count_whole(spark):
+    items = [(1, "alpha"), (2, "alpha beta"), (3, "one two three four five"), (4, "")]
+    docs = [(0, "Beta, alpha"), (1, "x alpha beta"), (2, "one two three four six"), (3, "so one two three four five."), (4, None)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    docs, items = frame(docs, "doc_id"), frame(items, "item_id")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()} == {(0, 1), (1, 1), (1, 2), (3, 3)}
+    assert D.drop_contaminated(docs, items).count() == 5
+
+
+def test_query_equals_plain_overlaps(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert {(r.doc_id, r.item_id) for r in D.op9_decontaminate(spark, sf).collect()} == brute(docs, items)
