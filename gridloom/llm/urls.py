@@ -1,8 +1,8 @@
 """URL filter: host and path rules, then a blocked Bloom filter of listed URLs before an exact hash join.
 
-Built-in expressions only. The filter is a table of 64-bit words, one a block, of at most ``MAX_BLOCKS``
-rows, so it can be broadcast whatever the list's size; with a longer list more URLs pass it, and the exact
-join still decides. Defined results: a null URL, or one without ``://``, has an empty host and path, no rule
+Built-in expressions only. The filter is a table of 64-bit words, one a block, a block for each four listed URLs. It is
+broadcast up to ``MAX_BLOCKS`` rows, and joined by block beyond, so it refuses as much with a list of any length.
+Rows that it refuses, or that a rule decides, are in no join after it. Defined results: a null URL, or one without ``://``, has an empty host and path, no rule
 and no listing, so it is allowed; repeated rows are judged alike; an empty table gives an empty result;
 columns of the input other than the URL are passed on, and helper columns start with ``_u``.
 """
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: First labels of hosts whose pages make up the default list.
 LISTED_LABELS = ("adult-x", "spam-farm", "cheap-pills", "ads-track", "casino-win", "free-bets")
-MAX_BLOCKS = 1 << 17
+#: Rows of a filter that is broadcast, at most: 16 bytes each.
+MAX_BLOCKS = 1 << 20
 BITS = 4
 
 
@@ -65,7 +66,8 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) ->
     """Add host, path, rule and verdict to every row of ``pages``; ``listed`` has canonical URLs in ``key``.
 
     Only URLs that no rule fits and that the filter passes are looked up in the list; the lookup is a
-    distinct-keyed equi-join, so no page is doubled. Possible hits with one key in very many rows are the
+    distinct-keyed equi-join, so no page is doubled. The pages are read once for rows that pass and once for the
+    others, instead of being shuffled. Possible hits with one key in very many rows are the
     skewed left side of that join, which adaptive execution splits.
     """
     h, p = host_and_path(F.col(url))
@@ -74,16 +76,15 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) ->
     rows = rows.withColumns({"rule": rule, "_usays": says})
     rows = rows.withColumn("_ukey", F.when(F.col("_usays").isNull() & (F.col("host") != ""), canonical(F.col("host"), F.col("path"))))
     exact = listed.where("key is not null").select(F.col("key").alias("_ukey")).distinct()
-    n = exact.count()
-    blocks = min(MAX_BLOCKS, max(64, 1 << max(0, n // 4).bit_length()))
+    blocks = max(64, 1 << max(0, exact.count() // 4).bit_length())
+    words = bloom(exact, blocks)
     rows = rows.withColumn("_ublock", F.pmod(F.xxhash64("_ukey"), F.lit(blocks)))
-    rows = rows.join(F.broadcast(bloom(exact, blocks)), "_ublock", "left")
-    passed = F.col("_ukey").isNotNull() & (F.col("_uword").bitwiseAND(_bits(F.col("_ukey"))) == _bits(F.col("_ukey")))
-    rows = rows.withColumn("_uprobe", F.when(passed, F.col("_ukey")))
-    hits = exact.select(F.col("_ukey").alias("_uprobe"), F.lit(True).alias("_uhit"))
-    rows = rows.join(hits, "_uprobe", "left")
+    rows = rows.join(F.broadcast(words) if blocks <= MAX_BLOCKS else words, "_ublock", "left")
+    passed = F.coalesce(F.col("_uword").bitwiseAND(_bits(F.col("_ukey"))) == _bits(F.col("_ukey")), F.lit(False))
+    hits = rows.where(passed).join(exact.withColumn("_uhit", F.lit(True)), "_ukey", "left")
+    both = hits.unionByName(rows.where(~passed), allowMissingColumns=True)
     verdict = F.coalesce("_usays", F.when(F.col("_uhit"), "block").otherwise("allow"))
-    return rows.withColumn("verdict", verdict).drop("_usays", "_ukey", "_ublock", "_uword", "_uprobe", "_uhit")
+    return both.withColumn("verdict", verdict).drop("_usays", "_ukey", "_ublock", "_uword", "_uhit")
 
 
 def listed_urls(pages: DataFrame, url: str = "url", labels=LISTED_LABELS) -> DataFrame:

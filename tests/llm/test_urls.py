@@ -33,3 +33,20 @@ def test_filter_lets_all_listed_pass(spark):
     keys = spark.range(5000).selectExpr("concat('h', id, '.com/p') AS key")
     pages = spark.range(10_000).selectExpr("id AS page_id", "concat('http://h', id, '.com/p') AS url")
     assert U.judge(pages, keys).where("verdict = 'block'").count() == 5000
+
+
+def test_only_passed_rows_are_joined(spark, monkeypatch):
+    """With lists too long to broadcast, or longer than a broadcast filter: the same verdicts, and refused rows in no shuffle by URL."""
+    keys = spark.range(4000).selectExpr("concat('h', id, '.com/p') AS key")
+    pages = spark.range(12_000).selectExpr("id AS page_id", "concat('http://h', id, '.com/p') AS url", "id % 3 AS _x").union(spark.sql("SELECT -1L, repeat('http://x', 100000), 0L UNION ALL SELECT -2L, NULL, 0L"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (1 << 20, 4):
+            monkeypatch.setattr(U, "MAX_BLOCKS", most)
+            out = U.judge(pages, keys)
+            got = out.collect()
+            assert len(got) == 12_002 and {r.page_id for r in got if r.verdict == "block"} == set(range(4000))
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.startswith("Union") and plan.count("Join LeftOuter, (_ukey") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
