@@ -125,20 +125,60 @@ def projected_grid(spark, g: Grid, crs: str, res: float, pieces: int = 20) -> Gr
     return Grid(c=west, f=north, a=res, e=-res, width=math.ceil((box["x1"] - west) / res), height=math.ceil((north - box["y0"]) / res), crs=crs)
 
 
-def reproject(px: DataFrame, g: Grid, crs: str, res: float, values: list[str]) -> tuple[DataFrame, Grid]:
+def reproject(px: DataFrame, g: Grid, crs: str, res: float, values: list[str], block: int | None = None) -> tuple[DataFrame, Grid]:
     """Nearest values on a grid of ``res`` in another CRS, and that grid; cells outside the source have no row.
 
     Cells are numbered in tasks, carried back by column arithmetic and joined on the source's pixel: one equi-join.
+    With ``block``, the series is worked out for nine points of each block of cells instead of every cell; see
+    block_pixels(). The rows are the same.
     """
     spark = px.sparkSession
     to = projected_grid(spark, g, crs, res)
-    at = to_crs_points(cells_of(spark, to).withColumns(xy(to)), crs, g.crs)
-    row, column = F.floor((F.col("y") - g.f) / g.e).cast("bigint"), F.floor((F.col("x") - g.c) / g.a).cast("bigint")
-    at = at.select("px_row", "px_col", row.alias("_r"), column.alias("_c")).where(F.col("_r").between(0, g.height - 1) & F.col("_c").between(0, g.width - 1))
+    at = source_pixels(cells_of(spark, to), to, g) if block is None else block_pixels(spark, to, g, block)
+    at = at.select("px_row", "px_col", F.floor("_r").cast("bigint").alias("_r"), F.floor("_c").cast("bigint").alias("_c")).where(F.col("_r").between(0, g.height - 1) & F.col("_c").between(0, g.width - 1))
     src = px.select(F.col("px_row").alias("_r"), F.col("px_col").alias("_c"), *values)
     return at.join(src, ["_r", "_c"]).drop("_r", "_c"), to
 
 
+def source_pixels(cells: DataFrame, to: Grid, g: Grid) -> DataFrame:
+    """px_row, px_col and _r, _c: where in the source grid's rows and columns each cell's centre lies."""
+    at = to_crs_points(cells.select("px_row", "px_col").withColumns(xy(to)), to.crs, g.crs)
+    return at.select("px_row", "px_col", ((F.col("y") - g.f) / g.e).alias("_r"), ((F.col("x") - g.c) / g.a).alias("_c"))
+
+
+#: How far the interpolated place may be off, as a multiple of what it is off at the points between the control points.
+SAFE = 2.0
+
+
+def block_pixels(spark, to: Grid, g: Grid, block: int) -> DataFrame:
+    """source_pixels() of every cell of ``to``, interpolated between the corners of blocks of cells where that can't change a pixel.
+
+    The series gives a block's four corners and, to check, the points between them. The greatest distance found
+    there, doubled, bounds the error in the block, as the map is all but quadratic over it. Cells that lie within
+    the bound of a source pixel's edge get the series itself. Blocks are made in tasks and exploded there.
+    """
+    down, across = -(-to.height // block), -(-to.width // block)
+    top, left = F.expr(f"id div {across}") * block, F.col("id") % across * block
+    steps_ = (0.0, 0.5, 1.0)
+    centres = [(top + i * block, left + j * block) for i in steps_ for j in steps_]
+    nine = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((p["x"], p["y"]) for p in (xy(to, r, c) for r, c in centres))])
+    blocks = spark.range(down * across).select(top.alias("_top"), left.alias("_left"), F.array(nine).alias("p"))
+    blocks = to_crs(blocks, to.crs, g.crs, "p").select("_top", "_left", *[F.transform(F.col("p")[0], f).alias(n) for n, f in (("r", lambda q: (q["y"] - g.f) / g.e), ("c", lambda q: (q["x"] - g.c) / g.a))])
+
+    def between(v, i, j):
+        """Bilinear, of the corners 0, 2, 6 and 8."""
+        return (v[0] * (1 - j) + v[2] * j) * (1 - i) + (v[6] * (1 - j) + v[8] * j) * i
+
+    off = [F.abs(v[3 * i + j] - between(v, i / 2, j / 2)) for v in (F.col("r"), F.col("c")) for i in range(3) for j in range(3) if i == 1 or j == 1]
+    blocks = blocks.withColumn("_off", SAFE * F.greatest(*off) + 1e-9)
+    cells = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(block * block - 1))).alias("_k")).withColumns({"_i": F.expr(f"_k div {block}"), "_j": F.col("_k") % block})
+    i, j = F.col("_i") / block, F.col("_j") / block
+    cells = cells.select((F.col("_top") + F.col("_i")).alias("px_row"), (F.col("_left") + F.col("_j")).alias("px_col"), "_off", between(F.col("r"), i, j).alias("_r"), between(F.col("c"), i, j).alias("_c"))
+    cells = cells.where((F.col("px_row") < to.height) & (F.col("px_col") < to.width))
+    near = F.greatest(*[F.col("_off") - F.abs(F.col(v) - F.round(v)) for v in ("_r", "_c")]) >= 0
+    return cells.where(~near).select("px_row", "px_col", "_r", "_c").union(source_pixels(cells.where(near), to, g))
+
+
 def cells_of(spark, g: Grid) -> DataFrame:
     """px_row and px_col of every cell of a grid."""
     return spark.range(g.width * g.height).select(F.expr(f"id div {g.width}").alias("px_row"), (F.col("id") % g.width).alias("px_col"))

@@ -31,6 +31,17 @@ def g08_reproject(spark, sf_dir):
     return J.reproject(scene(spark, sf_dir).select("px_row", "px_col", "b4"), WEST, NATIONAL, 10.0, ["b4"])[0]
 
 
+def g08_reproject_blocks(spark, sf_dir):
+    """g08_reproject's rows with the series at control points."""
+    return J.reproject(scene(spark, sf_dir).select("px_row", "px_col", "b4"), WEST, NATIONAL, 10.0, ["b4"], 32)[0]
+
+
+def g08_one_way(spark, sf_dir):
+    """The scene's pixel centres in the national zone, to a decimetre: finer rounding meets ties that libraries of functions break otherwise."""
+    px = scene(spark, sf_dir).select("px_row", "px_col").withColumns(G.xy(WEST))
+    return J.to_crs_points(px, WEST.crs, NATIONAL).withColumns({c: F.round(c, 1) for c in ("x", "y")})
+
+
 def g08_round_trip(spark, sf_dir):
     px = scene(spark, sf_dir).select("px_row", "px_col").withColumns(G.xy(WEST))
     there = J.to_crs_points(px, WEST.crs, NATIONAL)
@@ -217,6 +228,28 @@ _NDVI = "CASE WHEN abs((b7 - b3) / (b7 + b3 + 1e-8)) <= 1 THEN (b7 - b3) / (b7 +
 _KEPT = "SELECT chip_row, chip_col, {} FROM ch WHERE nl / 1024 >= 0.15 AND land >= 50 AND nv > 0"
 
 
+def _zone_sql(src: str, points: str, a: int, b: int) -> str:
+    """Points (keys, x, y) of UTM zone a in zone b, in inverse sines and hyperbolic tangents where the operator has others."""
+    wave = lambda terms, f, h, u, v: " + ".join(f"({c!r}::DOUBLE) * {f}({2 * j} * {u}) * {h}({2 * j} * {v})" for j, c in enumerate(terms, 1))
+    m = lambda z: f"radians({6 * z - 183})"
+    keys, radius = points, repr(J._RADIUS)
+    s = f"SELECT {keys}, y / {radius}::DOUBLE AS u, (x - 500000) / {radius}::DOUBLE AS v FROM {src}"
+    s = f"SELECT {keys}, u - ({wave(J.BETA, 'sin', 'cosh', 'u', 'v')}) AS u, v - ({wave(J.BETA, 'cos', 'sinh', 'u', 'v')}) AS v FROM ({s})"
+    s = f"SELECT {keys}, tan(asin(sin(u) / cosh(v))) AS t, atan2(sinh(v), cos(u)) + {m(a)} - {m(b)} AS lam FROM ({s})"
+    s = f"SELECT {keys}, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM ({s})"
+    return f"SELECT {keys}, 500000 + {radius}::DOUBLE * (eta + {wave(J.ALPHA, 'cos', 'sinh', 'xi', 'eta')}) AS x, {radius}::DOUBLE * (xi + {wave(J.ALPHA, 'sin', 'cosh', 'xi', 'eta')}) AS y FROM ({s})"
+
+
+def _g08():
+    """Reprojection by SQL: the outline's box in the national zone, its cells, and the source pixel of each."""
+    side = "SELECT 500000 + i * 128.0::DOUBLE AS x, 7000000 - j * 2560.0::DOUBLE AS y, 0 AS k FROM range(21) r(i), range(2) q(j) UNION ALL SELECT 500000 + j * 2560.0::DOUBLE, 7000000 - i * 128.0::DOUBLE, 0 FROM range(21) r(i), range(2) q(j)"
+    box = f"SELECT floor(min(x) / 10) * 10 AS c, ceil(max(y) / 10) * 10 AS f, max(x) AS x1, min(y) AS y0 FROM ({_zone_sql(f'({side})', 'k', 32, 33)})"
+    cells = f"SELECT px_row, px_col, c + (px_col + 0.5) * 10 AS x, f - (px_row + 0.5) * 10 AS y FROM box, range(1000) r(px_row), range(1000) q(px_col) WHERE px_row < ceil((f - y0) / 10) AND px_col < ceil((x1 - c) / 10)"
+    return f"""WITH box AS ({box}), cells AS ({cells}),
+back AS (SELECT px_row, px_col, floor((7000000 - y) / 10)::BIGINT AS r, floor((x - 500000) / 10)::BIGINT AS c FROM ({_zone_sql('cells', 'px_row, px_col', 33, 32)}))
+SELECT back.px_row, back.px_col, b4 FROM back JOIN scene ON scene.px_row = back.r AND scene.px_col = back.c"""
+
+
 def _l05():
     """The channels by SQL, from the chip and the statistics views."""
     from .chips import _LAB
@@ -238,7 +271,11 @@ def _l06():
 SELECT px_row, px_col, CASE WHEN ok THEN 1 ELSE 0 END AS label, {chosen} FROM px"""
 
 
+_CENTRES = "(SELECT px_row, px_col, 500000 + (px_col + 0.5) * 10.0::DOUBLE AS x, 7000000 - (px_row + 0.5) * 10.0::DOUBLE AS y FROM scene)"
 ORACLES = {
+    "g08_reproject": oracle(_g08(), "scene"),
+    "g08_reproject_blocks": oracle(_g08(), "scene"),
+    "g08_one_way": oracle(f"SELECT px_row, px_col, round(x, 1) AS x, round(y, 1) AS y FROM ({_zone_sql(_CENTRES, 'px_row, px_col', 32, 33)})", "scene"),
     "g08_round_trip": oracle("SELECT px_row, px_col, round(500000 + (px_col + 0.5) * 10, 3)::DOUBLE AS x, round(7000000 - (px_row + 0.5) * 10, 3)::DOUBLE AS y FROM scene", "scene"),
     "g18_to_crs": oracle(f"SELECT poly_id, corner, round(500000 + x * 10, 3) AS x, round(7000000 - y * 10, 3) AS y FROM ({_RING})", "label_polys"),
     "d02_mosaic_by": oracle(f"SELECT folder, px_row, px_col, tile_id, b1, b4 FROM (SELECT *, tile_id % 2 AS folder, row_number() OVER (PARTITION BY tile_id % 2, px_row, px_col ORDER BY {_ORD}) AS rn FROM scene_px) WHERE rn = 1", "scene_px"),

@@ -123,3 +123,19 @@ def test_held_out_counts(spark):
     counts = {(r["label"], r["pred"]): r["n"] for r in catalog.QUERIES["c06_held_out"](spark, SF).collect()}
     n = sum(counts.values())
     assert 800 < n < 2000 and sum(v for (a, b), v in counts.items() if a == b) > 0.7 * n
+
+
+def test_control_points_change_no_row(spark):
+    """Blocks of any size give the exact series' pixels, also over a wide and turned area; most cells are interpolated."""
+    for crs, block, g in (("EPSG:25835", 16, G.Grid(c=300000.0, width=70, height=50)), ("EPSG:25833", 7, G.Grid(crs="EPSG:32631", c=420000.0, a=500.0, e=-400.0, width=40, height=60)), ("EPSG:25833", 64, G.Grid(crs="EPSG:32632", width=30, height=20))):
+        px = spark.range(g.width * g.height).select(F.expr(f"id div {g.width}").alias("px_row"), (F.col("id") % g.width).alias("px_col"), F.col("id").alias("v"))
+        res = abs(g.a)
+        want, to = J.reproject(px, g, crs, res, ["v"])
+        got, same = J.reproject(px, g, crs, res, ["v"], block)
+        assert to == same
+        want = sorted(tuple(r) for r in want.select("px_row", "px_col", "v").collect())
+        assert sorted(tuple(r) for r in got.select("px_row", "px_col", "v").collect()) == want and len(want) > 100
+    exact = J.source_pixels(J.cells_of(spark, to), to, g).collect()
+    near = {(r.px_row, r.px_col): (r._r, r._c) for r in J.block_pixels(spark, to, g, 64).collect()}
+    assert len(near) == len(exact) and max(abs(near[r.px_row, r.px_col][i] - (r._r, r._c)[i]) for r in exact for i in (0, 1)) < 0.01
+    assert sum(near[r.px_row, r.px_col] == (r._r, r._c) for r in exact) < len(exact) / 4
