@@ -1,9 +1,10 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
 A batch's texts fall into words, which no merge can cross, and each distinct word is encoded once. All of
-them go through the merge rounds together: flat arrays of symbols and of pair ranks, the least rank (then
-leftmost place) of each word by a segmented minimum, one merge in every word at once, and compaction, until no
-pair is left. Words of more than ``LONG`` symbols, which would need as many rounds, go through a heap.
+them, of any length, go through the merge rounds together: flat arrays of symbols and of pair ranks, the least
+rank of each word by a segmented minimum, the leftmost merges of that rank in every word at once, and compaction,
+until no pair is left. A word takes one round for each rank that it merges at, or a little more, not one for each
+merge; only where merges of a very long word follow from each other (``WORK``) a heap ends what rounds began.
 
 The model is a BPE model with byte fallback, an identity normaliser, a dummy prefix and kept spaces, as
 loading checks. Defined results: a null or empty text has the end id alone and decodes to an empty text;
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import byte_texts, small_batches
 
 SPACE = "▁"
-#: Symbols in a word from which a heap takes the place of rounds.
-LONG = 256
+#: Symbols times rounds that a word may take; one that has more symbols left after so many is finished by a heap.
+WORK = 1 << 22
 #: Words whose encodings a worker keeps; beyond, it starts afresh.
 CACHE = 250_000
 _NONE = np.int64(2**62)
@@ -97,46 +98,63 @@ class PieceModel:
         return np.where(hit, self.ranks[at], _NONE), self.merged[at]
 
     def merge_words(self, words: list[str]) -> list[np.ndarray]:
-        """The symbols that are left of each (non-empty) word when no pair can be merged."""
+        """The symbols that are left of each (non-empty) word when no pair can be merged.
+
+        A round merges the pairs of each word's least rank, from the left and without overlap, up to the first whose
+        symbol makes a pair of that rank or less with a neighbour: one after the other, these would come next too.
+        """
         lengths = np.array([len(w) for w in words])
-        symbols = self.of_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        sym = self.of_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         out: list = [None] * len(words)
-        starts = np.cumsum(lengths) - lengths
-        for w in np.flatnonzero(lengths > LONG):
-            out[w] = self._merge_long(symbols[starts[w] : starts[w] + lengths[w]])
         word = np.repeat(np.arange(len(words)), lengths)
-        few = lengths[word] <= LONG
-        sym, word = symbols[few], word[few]
         if not len(sym):
             return out
         rank, new = self._pair_row(sym, word)
+        rounds = 0
         while len(sym):
+            rounds += 1
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            place = np.arange(len(sym))
-            best = np.minimum.reduceat(np.where(rank == _NONE, _NONE, rank << 32 | place), first)
+            best = np.minimum.reduceat(rank, first)
+            sizes = np.diff(np.r_[first, len(sym)])
             over = best == _NONE
+            heavy = ~over & (sizes * rounds > WORK)
+            over |= heavy
             if over.any():
-                ends = np.r_[first[1:], len(sym)]
                 for i in np.flatnonzero(over):
-                    out[word[first[i]]] = sym[first[i] : ends[i]]
-                stay = np.repeat(~over, ends - first)
-                moved = np.cumsum(stay) - 1
-                at = moved[best[~over] & 0xFFFFFFFF]
+                    left = sym[first[i] : first[i] + sizes[i]]
+                    out[word[first[i]]] = self._merge_long(left) if heavy[i] else left
+                stay = np.repeat(~over, sizes)
                 sym, word, rank, new = sym[stay], word[stay], rank[stay], new[stay]
-            else:
-                at = best & 0xFFFFFFFF
+                best, sizes = best[~over], sizes[~over]
             if not len(sym):
                 break
-            sym[at] = new[at]
+            at = np.flatnonzero(rank == np.repeat(best, sizes))
+            if len(at) > len(best):
+                n = np.arange(len(at))
+                run = np.maximum.accumulate(np.where(np.r_[True, at[1:] != at[:-1] + 1], n, 0))
+                at = at[(n - run) % 2 == 0]
+            least, made, of = rank[at], new[at], word[at]
+            left = np.maximum(at - 1, 0)
+            before = np.where(np.r_[-2, at[:-1]] == at - 2, np.r_[0, made[:-1]], sym[left])
+            left_rank, left_new = self._ranks(before, made)
+            left_rank = np.where((at > 0) & (word[left] == of), left_rank, _NONE)
+            right = np.minimum(at + 2, len(sym) - 1)
+            right_rank, right_new = self._ranks(made, sym[right])
+            right_rank = np.where((at + 2 < len(sym)) & (word[right] == of), right_rank, _NONE)
+            if len(at) > len(best):
+                ends = np.cumsum((left_rank <= least) | (right_rank <= least))
+                earlier = np.r_[0, ends[:-1]]
+                begins = np.maximum.accumulate(np.where(np.r_[True, of[1:] != of[:-1]], earlier, 0))
+                keep = earlier == begins
+                at, made, left_rank, left_new, right_rank, right_new = (x[keep] for x in (at, made, left_rank, left_new, right_rank, right_new))
+            sym[at], rank[at], new[at] = made, right_rank, right_new
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
-            at = (np.cumsum(stay) - 1)[at]
+            to = (np.cumsum(stay) - 1)[at]
             sym, word, rank, new = sym[stay], word[stay], rank[stay], new[stay]
-            for i in (at[at > 0] - 1, at):
-                nxt = np.minimum(i + 1, len(sym) - 1)
-                r, m = self._ranks(sym[i], sym[nxt])
-                rank[i] = np.where((nxt > i) & (word[nxt] == word[i]), r, _NONE)
-                new[i] = m
+            some = to > 0  # after the right sides: of two symbols made side by side, the later one tells their pair
+            rank[to[some] - 1] = left_rank[some]
+            new[to[some] - 1] = left_new[some]
         return out
 
     def _pair_row(self, sym, word):
@@ -147,7 +165,7 @@ class PieceModel:
         return rank, new
 
     def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
-        """The same merges for one long word: a heap of pairs over a linked list."""
+        """The same merges, one after the other: a heap of pairs over a linked list."""
         sym = symbols.tolist()
         n = len(sym)
         nxt, prev = [*range(1, n), -1], [-1, *range(n - 1)]
