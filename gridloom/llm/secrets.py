@@ -4,9 +4,10 @@ Every text is a blob named by its SHA-256. A run scans only pairs of blob and ru
 lacks, and one copy of each blob; the findings are then joined to every row (path) that holds the blob.
 Built-in expressions only.
 
-The ledger is a folder of Parquet runs: (_sblob, _srule, _sm), _sm holding, for each match in order, the
-code points since the match before, its length and whether it passes the rule's length test. Positions are
-running sums over those, so a text with very many matches needs no quadratic work.
+The ledger is a folder of Parquet runs by the first byte of the blob, _spart: (_sblob, _srule, _sm), _sm holding,
+for each match in order, the code points since the match before, its length and whether it passes the rule's length
+test. Positions are running sums over those, so a text with very many matches needs no quadratic work. A run reads
+the parts that its own blobs fall in, and of these only its own blobs' matches, however much history the ledger has.
 
 Defined results: a null text is the empty blob, without findings; repeated rows each get their blob's
 findings; an empty table gives an empty result; helper columns start with ``_s`` and other columns are
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, numbered
+from .common import fresh_path, materialize, numbered
 
 
 class Rule(NamedTuple):
@@ -63,36 +64,46 @@ def matches(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(_HINT.get(rule.kind, rule.pattern)), found).otherwise(none)
 
 
-def scan(docs: DataFrame, ledger: str, text: str = "text", rules=RULES) -> DataFrame:
-    """Scan what ``ledger`` lacks, add a run to it, and return ``docs`` with _sblob instead of the text."""
+def _part(blob: Column) -> Column:
+    """The blob's first byte, as a number."""
+    return F.conv(F.hex(F.substring(blob, 1, 1)), 16, 10).cast("int")
+
+
+def scan(docs: DataFrame, ledger: str, text: str = "text", rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """Scan what ``ledger`` lacks and add a run to it; ``docs`` with _sblob instead of the text, and (_sblob, _spart) of its blobs."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     blob = F.unhex(F.sha2(body, 256))
     rows = numbered(docs, "_suid")
-    pairs = rows.select(blob.alias("_sblob"), "_suid").groupBy("_sblob").agg(F.min("_suid").alias("_suid"))
-    pairs = pairs.withColumn("_srule", F.explode(F.lit([r.key for r in rules])))
-    seen = read_ledger(spark, ledger)
+    blobs = rows.select(blob.alias("_sblob"), "_suid").groupBy("_sblob").agg(F.min("_suid").alias("_suid"))
+    blobs = materialize(blobs.withColumn("_spart", _part(F.col("_sblob"))), "secret-blobs")
+    pairs = blobs.withColumn("_srule", F.explode(F.lit([r.key for r in rules])))
+    seen = read_ledger(spark, ledger, blobs)
     if seen is not None:
         pairs = pairs.join(seen.select("_sblob", "_srule").distinct(), ["_sblob", "_srule"], "left_anti")
-    todo = pairs.groupBy("_suid").agg(F.first("_sblob").alias("_sblob"), F.collect_set("_srule").alias("_srules"))
+    todo = pairs.groupBy("_suid").agg(F.first("_sblob").alias("_sblob"), F.first("_spart").alias("_spart"), F.collect_set("_srule").alias("_srules"))
     found = rows.select("_suid", body.alias("_stext")).join(todo, "_suid")
     each = [F.when(F.array_contains("_srules", r.key), F.struct(F.lit(r.key).alias("_srule"), matches(F.col("_stext"), r).alias("_sm"))) for r in rules]
-    runs = found.select("_sblob", F.inline(F.filter(F.array(*each), lambda x: x.isNotNull())))
-    runs.write.mode("append").parquet(ledger)
-    return rows.select(*[c for c in docs.columns if c != text], blob.alias("_sblob"))
+    runs = found.select("_sblob", "_spart", F.inline(F.filter(F.array(*each), lambda x: x.isNotNull())))
+    runs.repartition("_spart").sortWithinPartitions("_spart", "_sblob").write.mode("append").partitionBy("_spart").parquet(ledger)
+    return rows.select(*[c for c in docs.columns if c != text], blob.alias("_sblob")), blobs.select("_sblob", "_spart")
 
 
-def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
-    """The ledger's runs, or None before the first."""
+def read_ledger(spark: SparkSession, ledger: str, blobs: DataFrame | None = None) -> DataFrame | None:
+    """The ledger's runs, of some blobs (_sblob, _spart) only where these are given; None before the first run."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return None
-    return spark.read.schema("_sblob binary, _srule string, _sm array<struct<gap:int,len:int,ok:boolean>>").parquet(ledger)
+    runs = spark.read.schema("_sblob binary, _srule string, _sm array<struct<gap:int,len:int,ok:boolean>>, _spart int").parquet(ledger)
+    if blobs is None:
+        return runs
+    parts = [r["_spart"] for r in blobs.select("_spart").distinct().collect()]  # 256 at most
+    return runs.where(F.col("_spart").isin(parts)).join(blobs.select("_sblob"), "_sblob", "left_semi")
 
 
-def findings(spark: SparkSession, ledger: str, rules=RULES) -> DataFrame:
-    """(_sblob, kind, start, end) for every match of the current rules that counts; ``end`` is exclusive."""
-    rows = read_ledger(spark, ledger).where(F.col("_srule").isin([r.key for r in rules])).where(F.exists("_sm", lambda x: x["ok"]))
+def findings(spark: SparkSession, ledger: str, rules=RULES, blobs: DataFrame | None = None) -> DataFrame:
+    """(_sblob, kind, start, end) for every match of the current rules that counts, of some blobs or all; ``end`` is exclusive."""
+    rows = read_ledger(spark, ledger, blobs).where(F.col("_srule").isin([r.key for r in rules])).where(F.exists("_sm", lambda x: x["ok"]))
     rows = rows.dropDuplicates(["_sblob", "_srule"]).select("_sblob", "_srule", F.posexplode("_sm").alias("_si", "_sx"))
     upto = Window.partitionBy("_sblob", "_srule").orderBy("_si").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("_sx.gap").cast("long") + F.col("_sx.len")).over(upto)
@@ -102,9 +113,9 @@ def findings(spark: SparkSession, ledger: str, rules=RULES) -> DataFrame:
 
 def report(docs: DataFrame, ledger: str, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` without the text and with n_assign, n_access, n_hex, base_sha256 and spans."""
-    paths = scan(docs, ledger, text, rules)
+    paths, blobs = scan(docs, ledger, text, rules)
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
-    rows = findings(docs.sparkSession, ledger, rules).select("_sblob", F.struct("start", order[F.col("kind")].alias("rank"), "kind", "end").alias("_sx"))
+    rows = findings(docs.sparkSession, ledger, rules, blobs).select("_sblob", F.struct("start", order[F.col("kind")].alias("rank"), "kind", "end").alias("_sx"))
     by = rows.groupBy("_sblob").agg(F.sort_array(F.collect_list("_sx")).alias("_sx"))
     by = by.withColumn("_sbase", F.filter("_sx", lambda x: x["rank"] < len(BASE_RULES)))
     names = lambda column: F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -58,3 +58,20 @@ def test_added_kinds(spark):
     text = "-----BEGIN RSA PRIVATE KEY-----\nghp_" + "g1" * 18
     row = S.report(spark.createDataFrame([(1, text)], "doc_id long, text string"), fresh_path(spark, "ledger")).first()
     assert row.spans == "pem:0:31,forge:32:72" and row.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_ledger_of_other_blobs(spark):
+    """A small batch against a long ledger: its own findings, from the parts of the ledger that its blobs are in."""
+    ledger = fresh_path(spark, "ledger")
+    many = spark.range(2000).selectExpr("id AS doc_id", "concat('token: abcdefgh', id) AS text")
+    first = {x.doc_id: x.spans for x in S.report(many, ledger).collect()}
+    assert len(first) == 2000 and all(first.values())
+    batch = spark.createDataFrame([(1, "token: abcdefgh17"), (2, "nothing"), (3, "password=abcdefghij"), (4, "token: abcdefgh17")], "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in S.report(batch, ledger).collect()}
+    assert got == {1: first[17], 2: "", 3: "assign:0:19", 4: first[17]}
+    assert S.read_ledger(spark, ledger).count() == 2002 * len(S.RULES)
+    _, blobs = S.scan(batch, ledger)
+    assert S.read_ledger(spark, ledger, blobs).count() == 3 * len(S.RULES)
+    assert S.findings(spark, ledger, blobs=blobs).count() == 2
+    plan = S.findings(spark, ledger, blobs=blobs)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_spart" in plan.replace("isnotnull(_spart#", "_spart") or "_spart" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
