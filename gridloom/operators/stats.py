@@ -21,26 +21,28 @@ _NEAR = 0.001
 _MANY = 4000
 
 
-def percentiles(v: DataFrame, keys: list[str], value: str, at: list[float], exact: bool = True) -> DataFrame:
+def percentiles(v: DataFrame, keys: list[str], value: str, at: list[float], exact: bool = True, seen: DataFrame | None = None) -> DataFrame:
     """(keys, _p): percentiles of a column without NULLs, by linear interpolation between ranks, for each group.
 
-    Exact ones take two passes: sketches bracket each percentile; then values below a bracket are counted and
-    those within it, some 0.2 % of the rows, are grouped by value. No group's values are held in one task's memory.
+    Exact ones take two passes: sketches bracket each percentile; then one aggregation counts the values below each
+    bracket as one and those within it, some 0.2 % of the rows, by value. No group's values are held in one task's memory.
+    ``seen`` (see brackets()) spares the first pass; a percentile that its bracket misses is then NULL.
     """
     if not exact:
         return v.groupBy(*keys).agg(F.percentile_approx(value, at, 100_000).alias("_p"))
     probes = [min(1.0, max(0.0, p + d)) for p in at for d in (-_NEAR, _NEAR)]
-    seen = v.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.percentile_approx(value, probes, 10_000).alias("_b"))
+    if seen is None:
+        seen = v.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.percentile_approx(value, probes, 10_000).alias("_b"))
     few = F.col("_n") < _MANY
     limits = [F.struct(F.when(few, F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("lo"), F.when(few, F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("hi"), F.lit(p).alias("at"), F.lit(i).alias("i")) for i, p in enumerate(at)]
     seen = seen.select(*keys, "_n", F.array(*limits).alias("_lim"))
     rows = v.select(*keys, F.col(value).alias("_v"))
     rows = rows.join(seen, keys) if keys else rows.crossJoin(F.broadcast(seen))
-    below = rows.groupBy(*keys).agg(F.array(*[F.count_if(F.col("_v") < F.col("_lim")[i]["lo"]) for i in range(len(at))]).alias("_below"))
-    inside = rows.select(*keys, "_v", "_n", F.inline(F.filter("_lim", lambda x: F.col("_v").between(x["lo"], x["hi"]))))
-    counts = inside.groupBy(*keys, "i", "at", "_n", "_v").agg(F.count("*").alias("_m"))
-    counts = counts.join(below, keys) if keys else counts.crossJoin(F.broadcast(below))
-    upto = F.sum("_m").over(Window.partitionBy(*keys, "i").orderBy("_v")) + F.get("_below", F.col("i"))
+    # a value below a bracket counts as NULL there, which sorts first; those above it are left out
+    upper = F.filter("_lim", lambda x: F.col("_v") <= x["hi"])
+    kept = rows.select(*keys, "_n", F.inline(F.transform(upper, lambda x: F.struct(x["at"].alias("at"), x["i"].alias("i"), F.when(F.col("_v") >= x["lo"], F.col("_v")).alias("_v")))))
+    counts = kept.groupBy(*keys, "i", "at", "_n", "_v").agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("_v")))
     place = F.col("at") * (F.col("_n") - 1)
     holds = lambda rank: F.max(F.when((F.col("_upto") - F.col("_m") <= rank) & (rank < F.col("_upto")), F.col("_v")))
     found = counts.withColumn("_upto", upto).groupBy(*keys, "i", place.alias("_at")).agg(holds(F.floor(place)).alias("_lo"), holds(F.ceil(place)).alias("_hi"))
@@ -49,6 +51,52 @@ def percentiles(v: DataFrame, keys: list[str], value: str, at: list[float], exac
     return out.select(*keys, F.col("_p.p").alias("_p"))
 
 
+#: Size of a tile's quantile sketch; its rank error; and how many times that a bracket is wide on either side.
+SKETCH = 2000
+SKETCH_ERROR = 2.446 / SKETCH**0.9433
+_WIDE = 3
+
+
+def tile_sketches(px: DataFrame, bands, by: str = "tile_id") -> DataFrame:
+    """(tile, band, n, min, max, mean, var, sketch): what a tile adds to the statistics of all. Rows of tiles can be kept and merged."""
+    v = unpivot(px, bands, [by])
+    return v.groupBy(by, "band").agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.kll_sketch_agg_double("v", SKETCH).alias("sketch"))
+
+
+def brackets(sketches: DataFrame, at: list[float]) -> DataFrame:
+    """(band, _n, _min, _max, _b) for percentiles(), from the tiles' sketches."""
+    merged = sketches.groupBy("band").agg(F.sum("n").alias("_n"), F.min("min").alias("_min"), F.max("max").alias("_max"), F.kll_merge_agg_double("sketch").alias("_s"))
+    probes = [p + d * _WIDE * SKETCH_ERROR for p in at for d in (-1, 1)]
+    bounds = [F.col("_min") if p <= 0 else F.col("_max") if p >= 1 else F.kll_sketch_get_quantile_double("_s", F.lit(p)) for p in probes]
+    return merged.select("band", "_n", "_min", "_max", F.array(*bounds).alias("_b"))
+
+
+def stats_from_sketches(sketches: DataFrame, px: DataFrame | None = None, bands=None) -> DataFrame:
+    """band_stats() from stored tile sketches: percentiles within the sketches' rank error, or, with ``px``, exact.
+
+    Exact ones read ``px`` once, for the values within the sketches' brackets; if a bracket misses (its chance is
+    small), they are worked out anew.
+    """
+    at = [0.02, 0.5, 0.98]
+    total = sketches.groupBy("band").agg(F.sum("n").alias("_all"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    parts = sketches.join(F.broadcast(total), "band")
+    spread = F.sqrt(F.sum(F.col("n") * (F.col("var") + F.pow(F.col("mean") - F.col("_mean"), 2))) / F.first("_all"))
+    agg = parts.groupBy("band").agg(F.first("_all").alias("n_samples"), F.min("min").alias("min"), F.max("max").alias("max"), F.first("_mean").alias("mean"), spread.alias("std"), F.kll_merge_agg_double("sketch").alias("_s"))
+    if px is None:
+        agg = agg.withColumn("_p", F.array(*[F.kll_sketch_get_quantile_double("_s", F.lit(p)) for p in at]))
+    else:
+        v = unpivot(px, bands)
+        found = percentiles(v, ["band"], "v", at, seen=brackets(sketches, at))
+        rows = found.collect()  # one row a band
+        if any(p is None for r in rows for p in r["_p"]):
+            found = percentiles(v, ["band"], "v", at)
+        else:
+            found = px.sparkSession.createDataFrame(rows, found.schema)
+        agg = agg.join(found, "band")
+    iqr = F.col("_p")[2] - F.col("_p")[0]
+    return agg.select("band", F.col("_p")[1].alias("median"), F.when(iqr > 0, iqr).otherwise(1.0).alias("iqr"), "n_samples", "min", "max", "mean", "std")
+
+
 def band_stats(px: DataFrame, bands, exact: bool = True) -> DataFrame:
     """N, median, iqr (98th less 2nd percentile; 1 if not positive), min, max, mean and std of each band."""
     v = unpivot(px, bands)

@@ -25,6 +25,14 @@ def n01_sample_windows(spark, sf_dir):
     return N.sample_windows(scene_px(spark, sf_dir), per_tile=3, tries=20, size=32, extent=256, seed=SEED)
 
 
+def n02_from_sketches(spark, sf_dir):
+    """n02's rows from stored sketches: of three tiles, then of one that came later."""
+    px, path = clean(spark, sf_dir), scratch(spark, "sketches")
+    for tiles in ("tile_id < 3", "tile_id = 3"):
+        N.tile_sketches(px.where(tiles), BANDS).write.mode("append").parquet(path)
+    return rounded(N.stats_from_sketches(spark.read.parquet(path), px, BANDS))
+
+
 def n02_band_stats(spark, sf_dir):
     return rounded(N.band_stats(clean(spark, sf_dir), BANDS))
 
@@ -151,3 +159,4 @@ ORACLES = {
     "n15_window_stats": oracle(f"SELECT {_WIN} FROM scene WHERE px_row < 64 AND px_col < 64", "scene"),
     "n16_raster_stats": oracle(f"SELECT {_WIN} FROM scene", "scene"),
 }
+ORACLES["n02_from_sketches"] = ORACLES["n02_band_stats"]

@@ -59,3 +59,24 @@ def test_scan_reads_what_it_needs(spark):
     assert "b1" not in plan and "block_row" in plan and "GreaterThanOrEqual(px_row" in plan
     assert S.scan(spark, path, "tile", 1).count() == 2048
     assert S.scan(spark, path, "tile", 1, ["b1"], (0, 0, 0, 5), 16).count() == 0
+
+
+def test_tile_sketches_merge(spark):
+    """Statistics from stored tile sketches: exact with the pixels, within the rank error without; tiles can come in any order."""
+    px = spark.range(60_000).select((F.col("id") % 7).alias("tile_id"), F.when(F.col("id") % 11 > 0, F.pow(F.rand(5) * 10, 4)).alias("b1"), (F.col("id") % 40).cast("double").alias("b2"), F.lit(None).cast("double").alias("b3"))
+    px.write.parquet(path := S.scratch(spark, "px"))
+    px, bands = spark.read.parquet(path), ["b1", "b2", "b3"]
+    for t in (3, 0, 6, 1, 2, 5, 4):
+        N.tile_sketches(px.where(f"tile_id = {t}"), bands).write.mode("append").parquet(kept := f"{path}-sketches")
+    kept = spark.read.parquet(kept)
+    want = {r.band: r for r in N.band_stats(px, bands).collect()}
+    exact = {r.band: r for r in N.stats_from_sketches(kept, px, bands).collect()}
+    near = {r.band: r for r in N.stats_from_sketches(kept).collect()}
+    assert exact.keys() == want.keys() == near.keys() == {"b1", "b2"}
+    for b in want:
+        assert list(exact[b])[1:] == pytest.approx(list(want[b])[1:], rel=1e-9)
+        rank = px.where(F.col(b) <= near[b].median).count() / px.where(F.col(b).isNotNull()).count()
+        assert rank >= 0.5 - 3 * N.SKETCH_ERROR and px.where(F.col(b) < near[b].median).count() / want[b].n_samples <= 0.5 + 3 * N.SKETCH_ERROR
+    moved = N.tile_sketches(px.withColumn("b1", F.col("b1") + 1e6), bands)  # brackets that miss: worked out anew
+    assert {r.band: r.median for r in N.stats_from_sketches(moved, px, bands).collect()} == {b: pytest.approx(r.median) for b, r in want.items()}
+    assert N.stats_from_sketches(kept.limit(0), px.limit(0), bands).count() == 0
