@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from gridloom import catalog
 
-NAMES = ["m09_snow_stats", "m08_apply_mask", "d01_mosaic_last", "i_indices", "m23_dequantize", "g12_overview", "n02_band_stats", "g15_rasterize", "l09_chip_metadata", "p05_blend", "u02_entropy"]
+NAMES = ["m09_snow_stats", "m08_apply_mask", "d01_mosaic_last", "i_indices", "m23_dequantize", "g12_overview", "n02_band_stats", "g15_rasterize", "l09_chip_metadata", "p05_blend", "p05_predict_blocks", "u02_entropy", "d05_stack_stored", "g16_tile_hits", "g08_reproject", "g08_reproject_blocks", "c04_kfold"]
 
 
 def main():
@@ -17,7 +17,8 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     scratch = tempfile.mkdtemp(prefix="spark-")
     builder = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    spark = builder.config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").config("spark.local.dir", scratch).getOrCreate()
+    spark = builder.config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").config("spark.local.dir", scratch)
+    spark = spark.config("spark.checkpoint.dir", f"{scratch}/shared").config("spark.sql.warehouse.dir", f"{scratch}/warehouse").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
     for name in NAMES:

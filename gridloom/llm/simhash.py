@@ -164,7 +164,8 @@ def _common(rows: DataFrame, k: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(x or b"", k).view(np.int64))], names=["h"])
 
     part = rows.where(F.pmod(F.xxhash64("_huid"), F.lit(SAMPLE)) == 0).select("_ht").mapInArrow(batches, "h long")
-    return bitmap(part.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MOST // SAMPLE).select("h"), "h")
+    common = materialize(part.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MOST // SAMPLE).select("h"), "shingle-common")
+    return bitmap(common, "h", common.count())
 
 
 def _prefixes(rows: DataFrame, k: int) -> DataFrame:
@@ -195,22 +196,37 @@ def _prefixes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def parity(hashes: np.ndarray) -> bytes:
-    """1024 bits, each telling whether it has an odd number of the hashes: two sets differ in as many hashes as bits, or more."""
-    bits = np.bincount((hashes & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    """Bits that tell whether an odd number of the hashes fall on them: two sets differ in as many hashes as bits, or more.
+
+    At least 1024, and at least two for each hash: of two sets that share little, most bits where either has a hash differ.
+    """
+    size = max(1024, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 1024
+    bits = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(bool)).tobytes()
 
 
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two parities differ; the longer one is folded to the other's length, which keeps parities."""
+    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(u) != len(v):
+        u, v = (v, u) if len(u) < len(v) else (u, v)
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum(dtype=np.int64))
+
+
 def _possible(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and parities leave a Jaccard similarity of 0.8 possible: differing hashes up to a ninth of both sizes."""
 
     def batches(it):
         for batch in it:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 16) for c in ("x", "y"))
             total = batch.column("p").to_numpy() + batch.column("q").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= total, pa.bool_()))
+            bits = np.array([differing(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(9 * bits <= total, pa.bool_()))
 
     side = lambda name, n, bits: entries.select(F.col("_hset").alias(name), F.col("_hn").alias(n), F.col("_hbits").alias(bits))
-    both = pairs.join(side("a", "p", "x"), "a").join(side("b", "q", "y"), "b").where(5 * F.least("p", "q") >= 4 * F.greatest("p", "q"))
+    sized = 5 * F.least("p", "q") >= 4 * F.greatest("p", "q")
+    few = pairs.join(side("a", "p", "x").drop("x"), "a").join(side("b", "q", "y").drop("y"), "b").where(sized).select("a", "b")
+    both = few.join(side("a", "p", "x"), "a").join(side("b", "q", "y"), "b")
     return both.select("a", "b", "p", "q", "x", "y").mapInArrow(batches, "a long, b long")
 
 
@@ -219,7 +235,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, entries: DataFrame, k: int) ->
     pairs = materialize(_possible(pairs, entries), "shingle-possible")
     where = entries.join(pairs.select(F.col("a").alias("_hset")).union(pairs.select("b")).distinct(), "_hset", "left_semi").select("_hset", "_huid")
     where = materialize(where.withColumn("_hmark", F.xxhash64("_huid")), "shingle-wanted")
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap(where, "_hmark").tobytes())
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(where, "_hmark", where.count()).tobytes())
 
     def bodies(it):
         table = np.frombuffer(shared.value, np.uint8)

@@ -128,6 +128,15 @@ def s06_output_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.output_name("p_name", "_epsg25833_cog.tif").alias("name"))
 
 
+#: The suffixes that outputs of the steps have.
+SUFFIXES = ("_epsg25833_cog.tif", "_masked_ch.tif", "_DLready.tif", "_mosaic.tif")
+
+
+def s06_output_suffixes(spark, sf_dir):
+    names = F.array(*[S.output_name("p_name", x) for x in SUFFIXES])
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(names).alias("kind", "name"))
+
+
 def _halves(spark, sf_dir):
     keys = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 8).alias("zone"))
     return keys, keys.where("p_partkey % 3 <> 0 OR zone = 2")
@@ -237,6 +246,7 @@ ORACLES = {
     "s04_split_predictors": f"SELECT p_partkey, {_PATH} AS path, {_PATH} = (SELECT min({_PATH}) FROM part) AS is_main FROM part",
     "s05_rebase_paths": "SELECT p_partkey, '/mosaic/' || replace(p_name, ' ', '_') || '_' || p_partkey || '.tif' AS rebased, '/mnt/c/data/' || replace(p_name, ' ', '_') || '_' || p_partkey || '.tif' AS mounted FROM part",
     "s06_output_name": "SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9_]+', '_', 'g')) || '_epsg25833_cog.tif' AS name FROM part",
+    "s06_output_suffixes": "SELECT p_partkey, kind, lower(regexp_replace(p_name, '[^A-Za-z0-9_]+', '_', 'g')) || ['_epsg25833_cog.tif', '_masked_ch.tif', '_DLready.tif', '_mosaic.tif'][kind + 1] AS name FROM part, range(4) r(kind)",
     "s10_pair_chips": f"SELECT p_partkey, x AS has_x, y AS has_y, x AND y AS paired FROM (SELECT p_partkey, p_partkey % 5 <> 0 AS x, {_DONE} AS y FROM part) WHERE x OR y",
     "s13_run_report": f"SELECT p_partkey % 8 AS zone, CASE WHEN {_DONE} THEN 'skipped' ELSE 'written' END AS status, count(*) AS n FROM part GROUP BY 1, 2",
     "s14_pending": f"SELECT p_partkey, p_partkey % 8 AS zone FROM part WHERE NOT {_DONE}",
