@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from gridloom import catalog
 
-NAMES = ["m09_snow_stats", "m08_apply_mask", "d01_mosaic_last", "i_indices", "m23_dequantize", "g12_overview", "n02_band_stats", "g15_rasterize", "l09_chip_metadata", "p05_blend", "p05_predict_blocks", "u02_entropy", "d05_stack_stored", "g16_tile_hits", "g08_reproject", "g08_reproject_blocks", "c04_kfold"]
+NAMES = ["m09_snow_stats", "m08_apply_mask", "d01_mosaic_last", "i_indices", "m23_dequantize", "g12_overview", "n02_band_stats", "g15_rasterize", "l09_chip_metadata", "p05_blend", "p05_predict_blocks", "u02_entropy", "g16_tile_hits", "g08_reproject", "g08_reproject_blocks", "c04_kfold"]
 
 
 def main():
