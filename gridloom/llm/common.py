@@ -12,6 +12,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Paths of tables made within each open passing(), the innermost last.
+_made: list[list[str]] = []
+
+
+def materialize(df: DataFrame, name: str, codec: str = "snappy", last: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Within passing(), the table goes when that ends; with ``last`` it is what stays.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    for paths in _made[-1 - last : len(_made) - last]:
+        paths.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession):
+    """Delete the tables that materialize() makes within. What is read afterwards must be made with ``last``, or before."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the rows and bytes of the session's Arrow batches, so that batches of very long texts fit a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, bitmap, by_size, lower_bytes, materialize, mix, numbered, passes, small_batches, word_hashes
+from .common import U, bitmap, by_size, lower_bytes, materialize, mix, numbered, passes, passing, small_batches, word_hashes
 
 #: Positions that each seed covers; together they hit every stretch of 12 words with 2 substitutions, 15 with 3 or 20 with 4.
 SEEDS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 5, 6, 7), (0, 1, 2, 6, 8, 9), (0, 1, 2, 4, 6, 7))
@@ -252,14 +252,16 @@ def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The pairs of overlaps() with doc_id."""
     rows = numbered(docs.select(F.col(doc_id).alias("_cid"), "text"), "_cuid")
-    found = materialize(overlaps(rows, items), "bench-found")
+    with passing(docs.sparkSession):
+        found = materialize(overlaps(rows, items), "bench-found", last=True)
     return rows.select("_cid", "_cuid").join(found, "_cuid").drop("_cuid").withColumnRenamed("_cid", doc_id)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item of ``SPAN`` words or more contaminates."""
     rows = numbered(docs, "_cuid")
-    found = materialize(overlaps(rows, items, shortest=SPAN).select("_cuid").distinct(), "bench-found")
+    with passing(docs.sparkSession):
+        found = materialize(overlaps(rows, items, shortest=SPAN).select("_cuid").distinct(), "bench-found", last=True)
     return rows.join(found, "_cuid", "left_anti").drop("_cuid")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, connected_components, materialize, numbered, passes, small_batches
+from .common import bitmap, connected_components, materialize, numbered, passes, passing, small_batches
 
 SHINGLE = 3
 RADIUS = 2
@@ -312,14 +312,16 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int
     small_batches(docs.sparkSession)
     rows = numbered(docs, "_huid")
     bodies = rows.select(F.col(doc_id).alias("_hid"), "_huid", F.col(text).cast("binary").alias("_ht"))
-    prints = materialize(_prefixes(bodies, k), "shingle-prints")
-    first = F.min(F.struct(F.col("_hid").isNull(), "_hid", "_huid"))
-    best = materialize(prints.groupBy("_hset").agg(first.alias("_hbest")), "shingle-best")
-    entries = prints.join(best.select(F.col("_hbest._huid").alias("_huid")), "_huid", "left_semi").select("_hset", "_huid", "_hn", "_hkeys", "_hbits")
-    linked = connected_components(shingle_links(bodies.select("_huid", "_ht"), materialize(entries, "shingle-entries"), k))
-    linked = linked.select(F.col("node").alias("_hset"), F.col("component").alias("_hgroup"))
-    kept = best.join(linked, "_hset", "left").groupBy(F.coalesce("_hgroup", "_hset")).agg(F.min("_hbest").alias("_hbest"))
-    return rows.join(kept.select(F.col("_hbest._huid").alias("_huid")), "_huid", "left_semi").drop("_huid")
+    with passing(docs.sparkSession):
+        prints = materialize(_prefixes(bodies, k), "shingle-prints")
+        first = F.min(F.struct(F.col("_hid").isNull(), "_hid", "_huid"))
+        best = materialize(prints.groupBy("_hset").agg(first.alias("_hbest")), "shingle-best")
+        entries = prints.join(best.select(F.col("_hbest._huid").alias("_huid")), "_huid", "left_semi").select("_hset", "_huid", "_hn", "_hkeys", "_hbits")
+        linked = connected_components(shingle_links(bodies.select("_huid", "_ht"), materialize(entries, "shingle-entries"), k))
+        linked = linked.select(F.col("node").alias("_hset"), F.col("component").alias("_hgroup"))
+        kept = best.join(linked, "_hset", "left").groupBy(F.coalesce("_hgroup", "_hset")).agg(F.min("_hbest").alias("_hbest"))
+        kept = materialize(kept.select(F.col("_hbest._huid").alias("_huid")), "shingle-kept", last=True)
+    return rows.join(kept, "_huid", "left_semi").drop("_huid")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
