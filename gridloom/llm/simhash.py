@@ -321,7 +321,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int
         linked = linked.select(F.col("node").alias("_hset"), F.col("component").alias("_hgroup"))
         kept = best.join(linked, "_hset", "left").groupBy(F.coalesce("_hgroup", "_hset")).agg(F.min("_hbest").alias("_hbest"))
         kept = materialize(kept.select(F.col("_hbest._huid").alias("_huid")), "shingle-kept", last=True)
-    return rows.join(kept, "_huid", "left_semi").drop("_huid")
+    return rows.join(kept.hint("merge"), "_huid", "left_semi").drop("_huid")  # no broadcast of what grows with the input
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
