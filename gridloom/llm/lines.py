@@ -3,15 +3,19 @@
 A normalised line is lower case, digits as 0, and its words joined by single spaces; lines without a word are
 never removed. Equal normalised lines are one entry, told by a 128-bit hash.
 
-A line's fingerprint has ``blocks(n)`` blocks of 64 bits for its n words. Each word votes in the block that its
+A line's fingerprint has ``blocks(n)`` blocks of 64 bits for its n words. Each distinct word votes in the block that its
 hash picks, so a replaced word alters two blocks at most and all others still agree (pigeonhole). Lines near a
 change of ``blocks`` have the blocks of both sides. A key is a block, with as many of the blocks after it as give
-it three distinct words (half of a shorter line's words); lines below ``SHORT`` words have each pair of blocks. Every line is sorted once for each of its keys, by the
-key, bits of the block after it and its hash; lines that stand within ``NEAR`` places there and share the key are
-candidates if half of a 128-bit SimHash of word pairs differs in ``RADIUS`` bits or fewer. The sort is
-a range partition, which splits a key of very many lines over tasks, and candidates are never more than ``NEAR`` a
-key. Candidates whose whole SimHash is within twice ``RADIUS`` bits are verified by edit similarity (``SIMILARITY``), and verified pairs link lines to groups. Of each
-group's lines the first stays, by document id and place.
+it three distinct words (half of a shorter line's words); lines below ``SHORT`` words have each pair of blocks.
+All lines that share a key meet, whatever their number: they are candidates if half of a 128-bit SimHash of word pairs
+differs in ``RADIUS`` bits or fewer. Candidates whose whole SimHash is within twice ``RADIUS`` bits are verified by edit
+similarity (``SIMILARITY``), and verified pairs link lines to groups. Of each group's lines the first stays, by
+document id and place.
+
+Copies aren't expanded into all pairs, and yet the groups are those of all pairs: of a key's lines each meets a leader
+first; then lines that are still in different groups meet the nearest of each other group, then all that they haven't
+met. The keys travel in arrays, dealt by their first bits. A key's lines pass through one task with 24 bytes each; the
+comparisons of a key of over ``TILE`` lines are dealt over tasks in squares.
 
 Edits near the limit that touch every block leave no candidate; README has measured recall. Defined results:
 null and empty texts have one line without a word, which stays; a line of any length is compared whole; characters
@@ -24,11 +28,10 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +43,6 @@ SHORT = 12
 OVER = 1.1
 #: Distinct words that a key holds at least.
 LEAST = 3
-NEAR = 2
 RADIUS = 20
 SIMILARITY = 0.8
 
@@ -50,9 +52,18 @@ _class[10] = 10
 #: For each byte, its bits as eight counters of eight bits each.
 _lanes = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(U) << (U(8) * np.arange(8, dtype=U))).sum(1, dtype=U)
 _ODD = U(0xD6E8FEB86659FD93)
-_KEY = U(0xFFFFFFFFFFFF0000)
+_WORD = U((1 << 40) - 1)
 #: Lines whose hashes a task keeps, so that their keys come out once; beyond, it starts afresh.
 _SEEN = 1 << 20
+#: Lines of a key that are compared in one task.
+TILE = 2048
+#: Leaders of a key of more lines; others wait until those of other groups meet.
+_LEADERS = 64
+#: Lines of each other group that a line meets before it meets all of them.
+_NEAREST = 3
+#: Keys that a task holds before it deals them, and keys of a bucket, about.
+_HELD = 1 << 20
+_BUCKET = 1 << 17
 #: Columns between two looks at the diagonal, and the distance of the cells looked at, at least.
 _LOOK = 40
 _STEP = 8
@@ -113,7 +124,7 @@ def blocks(n: np.ndarray) -> np.ndarray:
 
 
 def _ring(key: np.ndarray, distinct: np.ndarray, base: np.ndarray, size: np.ndarray, least: np.ndarray):
-    """(line, key, the block's key after it) of the keys that start at each block with a word; equal ones of a line once.
+    """(line, key) of the keys that start at each block with a word; equal ones of a line once.
 
     Lines of six blocks have each pair of blocks instead, so two replaced words always leave one of their keys.
     """
@@ -131,20 +142,18 @@ def _ring(key: np.ndarray, distinct: np.ndarray, base: np.ndarray, size: np.ndar
     whole = length == size[line]
     total = np.add.reduceat(key, base) if len(base) else key
     run = np.where(whole, mix(total[line]), run)
-    after = key[base[line] + (place + length) % size[line]]
     starts = distinct > 0
     first_whole = np.zeros(len(key), bool)
     if whole.any():
         first_whole[np.flatnonzero(whole & starts)[np.unique(line[whole & starts], return_index=True)[1]]] = True
     keep = starts & (~whole | first_whole) & (size[line] > 6)
-    out = [(line[keep], run[keep], after[keep])]
+    out = [(line[keep], run[keep])]
     short = base[size == 6]
     words = np.add.reduceat(distinct, base)[size == 6]
     for i, j in combinations(range(6), 2):
         pair = mix(mix(key[short + i] + U(6 * i + j)) + key[short + j] * _ODD)
         full = distinct[short + i] + distinct[short + j] >= np.minimum(2, -(-words // 3))
-        others = (key[short + k] for k in range(6) if k not in (i, j))
-        out.append((line[short][full], pair[full], next(others)[full]))
+        out.append((line[short][full], pair[full]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -152,12 +161,15 @@ def line_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     """Hash and line of all words of lines of a normalised buffer, and the number of words of each line."""
     gap = (buf == 32) | (buf == 10)
     begins = ~gap & (np.r_[True, gap[:-1]] | (buf >= 0xE0))
-    words, stops = np.flatnonzero(begins), np.flatnonzero(gap | begins)
-    line = np.searchsorted(start, words, "right") - 1
-    mine = (line >= 0) & (words < end[line])
-    words, line = words[mine], line[mine]
-    h = mix(span_hashes(prefix_hashes(buf), words, stops[np.searchsorted(stops, words, "right")]))
-    return h, line, np.bincount(line, minlength=len(start))
+    stops = np.flatnonzero(gap | begins)
+    at = np.flatnonzero(begins[stops])
+    words, stop = stops[at], stops[at + 1]
+    first = np.searchsorted(words, start)
+    n = np.searchsorted(words, end) - first
+    if n.sum() != len(words):
+        mine = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        words, stop = words[mine], stop[mine]
+    return mix(span_hashes(prefix_hashes(buf), words, stop)), np.repeat(np.arange(len(start)), n), n
 
 
 def prints_of(h: np.ndarray, n: np.ndarray, half: int) -> np.ndarray:
@@ -174,10 +186,7 @@ def prints_of(h: np.ndarray, n: np.ndarray, half: int) -> np.ndarray:
 
 
 def signatures(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For lines of a normalised buffer: half the SimHash of each, and (line, key) of their keys, in order of lines.
-
-    A key has 48 bits for its blocks, then 16 for the block after them.
-    """
+    """For lines of a normalised buffer: half the SimHash of each, and (line, key) of their keys, in order of lines."""
     h, line, n = line_words(buf, start, end)
     prints = prints_of(h, n, 1)
     rows = []
@@ -188,24 +197,25 @@ def signatures(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
             continue
         number = np.full(len(size), -1)
         number[some] = np.arange(len(some))
-        size, w = size[some], np.flatnonzero(number[line] >= 0)
-        base, of = np.cumsum(size) - size, number[line[w]]
-        cell = base[of] + ((mix(h[w] + U(5)) >> U(32)) * size[of].astype(U) >> U(32)).astype(np.int64)
-        order = np.argsort(cell.astype(U) << U(40) | h[w] >> U(24))
-        cell, hash_ = cell[order], h[w][order]
+        w = np.flatnonzero(size[line]) if len(some) < len(size) else slice(None)
+        size, word, of = size[some], h[w], number[line[w]]
+        base = np.cumsum(size) - size
+        cell = base[of].astype(U) + ((mix(word + U(5)) >> U(32)) * size[of].astype(U) >> U(32))
+        both = np.sort(cell << U(40) | word >> U(24))
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+        cell = (both >> U(40)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         counts = np.diff(np.r_[first, len(cell)])
-        new = np.r_[True, (hash_[1:] != hash_[:-1]) | (cell[1:] != cell[:-1])]
         key, distinct = np.zeros(size.sum(), U), np.zeros(size.sum(), np.int64)
-        key[cell[first]], distinct[cell[first]] = majority(hash_, first, counts), np.add.reduceat(new, first, dtype=np.int64)
+        key[cell[first]], distinct[cell[first]] = majority(mix(both & _WORD), first, counts), counts
         place = np.arange(len(key)) - np.repeat(base, size)
         key = mix(key ^ (np.repeat(size, size) << 32 | place).astype(U) * _ODD)
         total = np.add.reduceat(distinct, base)
-        at, run, after = _ring(key, distinct, base, size, np.minimum(LEAST, -(-total // 2)))
-        rows.append((some[at], run, after))
-    at, run, after = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))
+        at, run = _ring(key, distinct, base, size, np.minimum(LEAST, -(-total // 2)))
+        rows.append((some[at], run))
+    at, run = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, U))
     order = np.argsort(at, kind="stable")
-    return prints, at[order], ((run & _KEY) | (after >> U(48)))[order]
+    return prints, at[order], run[order]
 
 
 def line_rows(rows: DataFrame) -> DataFrame:
@@ -233,70 +243,180 @@ def line_rows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches, "id long, uid long, line long, h long, g long, fp long, keys array<long>")
 
 
-def neighbours(it, part: int):
-    """From rows (key, h, fp) in order: (a, b) of candidates, and the first and last ``NEAR`` rows, whose neighbours are elsewhere."""
-    names = ["a", "b", "part", "key", "h", "fp"]
-    held, opened = np.zeros((0, 3), np.int64), 0
+def dealt(it, bits: int):
+    """From rows (h, fp, keys): for each bucket of the keys' first bits the keys, hashes and SimHashes as arrays."""
+    held, n = [], 0
 
-    def table(a, b, edges):
-        out = np.zeros((len(a), 6), np.int64)
-        out[:, 0], out[:, 1], out[:, 2] = a, b, -1
-        edges = np.concatenate([np.tile([0, 0, part], (len(edges), 1)), edges], 1)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate([out, edges]).T], names=names)
+    def table():
+        keys, h, fp = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys.view(U))
+        bucket = (keys[order].view(U) >> U(64 - bits)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        cuts = pa.array(np.r_[first, len(bucket)], pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x[order])) for x in (keys, h, fp)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *lists], names=["bucket", "keys", "h", "fp"])
 
     for batch in it:
-        rows = _distinct(np.concatenate([held, _matrix(batch)]))
-        yield table(*candidates(rows), rows[: 0 if opened >= NEAR else NEAR])
-        opened = max(opened, len(rows))
-        held = rows[-NEAR:]
-    yield table([], [], held)
-
-
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([batch.column(c).to_numpy() for c in ("key", "h", "fp")], 1)
-
-
-def _distinct(rows: np.ndarray) -> np.ndarray:
-    """Sorted rows without those equal to the one before."""
-    return rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)]] if len(rows) else rows
+        lists = batch.column("keys")
+        sizes = np.diff(lists.offsets.to_numpy())
+        held.append((lists.flatten().to_numpy(), np.repeat(batch.column("h").to_numpy(), sizes), np.repeat(batch.column("fp").to_numpy(), sizes)))
+        n += sizes.sum()
+        if n >= _HELD:
+            yield table()
+            held, n = [], 0
+    if n:
+        yield table()
+
+
+def runs(it, *names: str):
+    """The batches of sorted rows, cut where the named columns change: a list of pieces for each of their values."""
+    held, last = [], None
+    for batch in it:
+        at = np.stack([batch.column(c).to_numpy() for c in names], 1)
+        for a, b in pairwise([0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]):
+            if a == b:
+                continue
+            value = at[a].tolist()
+            if held and value != last:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = value
+    if held:
+        yield held
+
+
+def _same_keys(key: np.ndarray, h: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows, without repeated ones, of keys that several lines have, in order of key and h; and where each key starts."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    order = order[(np.r_[False, same] | np.r_[same, False])[: len(order)]]
+    order = order[np.lexsort((h[order], key[order]))]
+    key, h = key[order], h[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])][: len(key)]
+    key, h, fp = key[new], h[new], fp[order][new].view(U)
+    return key, h, fp, np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x[:, None] ^ y[None, :]) <= RADIUS
+
+
+def stars(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (leader, place) of a key's lines, and the places of lines that may be near others than their leader."""
+    m, leaders, members = len(fp), [], []
+    if m > TILE:
+        free = np.arange(m)
+        for _ in range(_LEADERS):
+            if len(free) < 2:
+                break
+            near = _near(free_fp := fp[free], free_fp[:1])[:, 0]
+            members.append(free[near][1:])
+            leaders.append(np.full(len(members[-1]), free[0]))
+            free = free[~near]
+        return np.concatenate(leaders), np.concatenate(members), np.arange(m)
+    near = _near(fp, fp)
+    np.fill_diagonal(near, False)
+    some = np.flatnonzero(near.any(1))
+    free = np.ones(m, bool)
+    for i in some.tolist():
+        if free[i]:
+            free[i] = False
+            mine = np.flatnonzero(near[i] & free)
+            free[mine] = False
+            leaders.append(np.full(len(mine), i))
+            members.append(mine)
+    none = np.zeros(0, np.int64)
+    p, q = np.concatenate([none, *leaders]), np.concatenate([none, *members])
+    return p, q, some if 2 * len(p) < near.sum() else none
+
+
+def met_leaders(it):
+    """From the rows of ``dealt`` in order of buckets: pairs (a, b) of hashes; and rows (key, h, fp, m) of lines that may be near others too."""
+    for pieces in runs(it, "bucket"):
+        key, h, fp, first = _same_keys(*(np.concatenate([x.column(c).flatten().to_numpy() for x in pieces]) for c in ("keys", "h", "fp")))
+        size = np.diff(np.r_[first, len(key)])
+        two = first[size == 2]
+        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
+        a, b, more, m = [h[two]], [h[two + 1]], [], []
+        for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+            p, q, rest = stars(fp[at : at + n])
+            a.append(h[at + p])
+            b.append(h[at + q])
+            more.append(at + rest)
+            m.append(np.full(len(rest), n))
+        a, b = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0).T
+        none = np.zeros(0, np.int64)
+        more, m = np.concatenate([none, *more]), np.concatenate([none, *m])
+        fill, gap = np.zeros(len(more), np.int64), np.zeros(len(a), np.int64)
+        columns = [np.r_[a, fill], np.r_[b, fill], np.r_[gap, key[more]], np.r_[gap, h[more]], np.r_[gap, fp[more].view(np.int64)], np.r_[gap, m]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["a", "b", "key", "h", "fp", "m"])
 
 
 def candidates(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the pairs of sorted rows (key, h, fp) within ``NEAR`` places that share the key and lie within ``RADIUS`` bits."""
+    """Hashes of all pairs of rows (key, h, fp) that share the key and lie within ``RADIUS`` bits: what the operator's groups are made of."""
+    key, h, fp, first = _same_keys(*(np.ascontiguousarray(x) for x in rows.T))
     found = [np.zeros((0, 2), np.int64)]
-    for d in range(1, min(NEAR + 1, len(rows))):
-        p, q = rows[:-d], rows[d:]
-        ok = (p[:, 0] >> 16 == q[:, 0] >> 16) & (p[:, 1] != q[:, 1]) & (np.bitwise_count(p[:, 2].view(U) ^ q[:, 2].view(U)) <= RADIUS)
-        found.append(np.sort(np.stack([p[ok, 1], q[ok, 1]], 1), axis=1))
+    for at, n in zip(first.tolist(), np.diff(np.r_[first, len(key)]).tolist()):
+        p, q = np.nonzero(np.triu(_near(fp[at : at + n], fp[at : at + n]), 1))
+        found.append(np.stack([h[at + p], h[at + q]], 1))
     out = np.unique(np.concatenate(found), axis=0)
     return out[:, 0], out[:, 1]
 
 
-def candidate_pairs(lines: DataFrame) -> DataFrame:
-    """(a, b): hashes h of lines that may be similar, a below b.
-
-    Neighbours in the order that tasks' edges part meet in one more task, which gets ``NEAR`` rows from each end of a task.
-    """
-    keys = lines.where("fp is not null").select(F.explode("keys").alias("key"), "h", "fp")
-    keys = keys.repartitionByRange("key", "h").sortWithinPartitions("key", "h")
-    schema = "a long, b long, part long, key long, h long, fp long"
-    found = materialize(keys.mapInArrow(lambda it: neighbours(it, TaskContext.get().partitionId()), schema), "line-candidates")
-    edges = found.where("part >= 0").select("key", "h", "fp").distinct().repartition(1).sortWithinPartitions("key", "h")
-
-    def across(it):
-        a, b = candidates(np.concatenate([np.zeros((0, 3), np.int64), *map(_matrix, it)]))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return found.where("part < 0").select("a", "b").union(edges.mapInArrow(across, "a long, b long")).distinct()
+def candidate_rows(lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of hashes of lines and their keys' leaders (m is 0), and rows (key, h, fp, m) of keys of m lines some of which may be near others too."""
+    spark = lines.sparkSession
+    keyed = lines.where("fp is not null").select("h", "fp", "keys")
+    bits = max(6, (10 * keyed.count() // _BUCKET).bit_length())
+    small_batches(spark, 1024)  # rows of about a hundred bytes
+    parts = keyed.mapInArrow(lambda it: dealt(it, bits), "bucket long, keys array<long>, h array<long>, fp array<long>")
+    parts = parts.repartition("bucket").sortWithinPartitions("bucket")
+    found = materialize(parts.mapInArrow(met_leaders, "a long, b long, key long, h long, fp long, m long"), "line-candidates")
+    small_batches(spark)
+    return found
+
+
+def met(it, nearest: bool):
+    """From rows (key, i, j, e, fp, part, group) in order of squares: candidates (a, b) in different groups; of each other group the nearest only, if so."""
+    for pieces in runs(it, "key", "i", "j"):
+        e, fp, part, group, i, j = (np.concatenate([x.column(c).to_numpy() for x in pieces]) for c in ("e", "fp", "part", "group", "i", "j"))
+        if (group == group[0]).all():
+            continue
+        fp, found = fp.view(U), []
+        for at in range(0, len(e), 512):
+            rows = slice(at, at + 512)
+            bits = np.bitwise_count(fp[rows, None] ^ fp[None, :])
+            ok = (bits <= RADIUS) & (group[rows, None] != group[None, :])
+            if i[0] != j[0]:
+                ok &= part[rows, None] != part[None, :]
+            p, q = np.nonzero(ok)
+            if nearest:
+                order = np.lexsort((e[q], bits[p, q], group[q], p))
+                p, q = p[order], q[order]
+                start = np.r_[True, (p[1:] != p[:-1]) | (group[q[1:]] != group[q[:-1]])][: len(p)]
+                keep = np.arange(len(p)) - np.maximum.accumulate(np.where(start, np.arange(len(p)), 0)) < _NEAREST
+                p, q = p[keep], q[keep]
+            found.append(np.sort(np.stack([e[at + p], e[q]], 1), axis=1))
+        a, b = np.unique(np.concatenate(found), axis=0).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
+
+
+def met_groups(rest: DataFrame, parts: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b): candidates among rows (key, e, fp, m) that are in different groups of ``parts`` (node, component)."""
+    grouped = rest.join(parts.select(F.col("node").alias("e"), F.col("component").alias("group")), "e", "left").withColumn("group", F.coalesce("group", "e"))
+    squares = F.ceil(F.col("m") / TILE)
+    tiles = grouped.withColumn("part", F.pmod(F.xxhash64("e"), squares)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), squares - 1)))
+    tiles = tiles.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "e", "fp", "part", "group")
+    tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return tiles.mapInArrow(lambda it: met(it, nearest), "a long, b long").distinct()
 
 
 def line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, e, body) of the normalised lines in ``wanted`` (e, h, uid, line), from rows of (uid, text).
+    """(e, body) of the normalised lines in ``wanted`` (e, uid, line), from rows of (uid, text).
 
     A bitmap of the places that are wanted goes to the executors, so that other lines aren't shuffled.
     """
-    wanted = materialize(wanted, "line-wanted")
-
     def marked(it):
         for batch in it:
             yield pa.RecordBatch.from_arrays([pa.array(_marks(batch.column("uid").to_numpy(), batch.column("line").to_numpy()).view(np.int64))], names=["mark"])
@@ -320,7 +440,7 @@ def line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(uid[doc[at]]), pa.array(line[at]), pa.array(buf.tobytes()[1:-1].split(b"\n"), pa.binary())], names=["uid", "line", "body"])
 
     found = rows.select("uid", "text").mapInArrow(batches, "uid long, line long, body binary")
-    return found.join(wanted, ["uid", "line"]).select("h", "e", "body")
+    return found.join(wanted, ["uid", "line"]).select("e", "body")
 
 
 def _marks(uid: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -389,8 +509,11 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
-def distance_bound(x: list[str], y: list[str]) -> int:
-    """At least the edit distance of two rows of words: words that each has once are laid side by side, what lies between is replaced."""
+def distance_bound(x: list[str], y: list[str], most: int = -1) -> int:
+    """At least the edit distance of two rows of words: words that each has once are laid side by side, what lies between is replaced.
+
+    What lies between is compared exactly only until the sum is ``most`` or less.
+    """
     once_x, once_y = Counter(x), Counter(y)
     places = {w: j for j, w in enumerate(y) if once_y[w] == 1}
     pairs = [(i, places[w]) for i, w in enumerate(x) if w in places and once_x[w] == 1]
@@ -404,12 +527,18 @@ def distance_bound(x: list[str], y: list[str]) -> int:
     while at:
         chain.append(pairs[at[0]])
         at = at[1]
-    total, i, j = 0, 0, 0
+    between, i, j = [], 0, 0
     for p, q in [*chain[::-1], (len(x), len(y))]:
         if (p > i or q > j) and (u := x[i:p]) != (v := y[j:q]):
-            u, v = trim(" ".join(u), " ".join(v))
-            total += (edit_distance(u, v) if len(u) * len(v) <= _SMALL else max(len(u), len(v))) + (not u or not v)
+            u, v = " ".join(u), " ".join(v)
+            between.append((max(len(u), len(v)) + (not u or not v), u, v))
         i, j = p + 1, q + 1
+    total = sum(n for n, _, _ in between)
+    for n, u, v in between:
+        if total <= most:
+            break
+        x, y = trim(u, v)
+        total += (edit_distance(x, y) if len(x) * len(y) <= _SMALL else max(len(x), len(y))) + (not u or not v) - n
     return total
 
 
@@ -422,7 +551,10 @@ def similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     x, y = trim(x, y)
     if max(len(x), len(y)) <= most:
         return True
-    return max(len(x), len(y)) > _DIRECT and distance_bound(x.split(" "), y.split(" ")) <= most or edit_distance(x, y, most) <= most
+    u, v = x.split(" "), y.split(" ")
+    if len(u) == len(v) and sum(max(len(p), len(q)) for p, q in zip(u, v) if p != q) <= most:
+        return True
+    return max(len(x), len(y)) > _DIRECT and distance_bound(u, v, most) <= most or edit_distance(x, y, most) <= most
 
 
 def alike(x: list[bytes], y: list[bytes]) -> np.ndarray:
@@ -438,12 +570,8 @@ def alike(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return (first <= RADIUS) & (first + second <= 2 * RADIUS)
 
 
-def links(lines: DataFrame, entries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Verified links (a, b) between entries (e, h, first); ``rows`` (uid, text) hold their texts."""
-    pairs = materialize(candidate_pairs(lines), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    wanted = entries.join(wanted, "h", "left_semi").select("e", "h", "first.uid", "first.line")
-    body = materialize(line_texts(rows, wanted), "line-texts")
+def verified(pairs: DataFrame, body: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines in ``body`` (e, body) are alike and similar."""
 
     def verify(it):
         for batch in it:
@@ -451,9 +579,38 @@ def links(lines: DataFrame, entries: DataFrame, rows: DataFrame) -> DataFrame:
             good = [bool(near) and similar(p, q) for near, p, q in zip(alike(x, y), x, y)] if x else []
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda h, e, text: body.select(F.col("h").alias(h), F.col("e").alias(e), F.col("body").alias(text))
-    both = pairs.toDF("ha", "hb").join(side("ha", "a", "x"), "ha").join(side("hb", "b", "y"), "hb")
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    both = pairs.join(body.toDF("a", "x"), "a").join(body.toDF("b", "y"), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "line-links")
+
+
+def joined_groups(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``parts`` (node, component) after the edges (a, b), between its nodes or others."""
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    over = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = connected_components(over.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    joined = materialize(joined, "line-joined")
+    moved = parts.join(joined.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialize(moved.union(joined.join(parts, "node", "left_anti")), "line-parts")
+
+
+def linked(lines: DataFrame, entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, component): the groups of entries (e, h, first) that all verified candidates link; ``rows`` (uid, text) hold their texts."""
+    found = candidate_rows(lines)
+    pairs, rest = found.where("m = 0").select("a", "b"), found.where("m > 0")
+    hashes = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(rest.select("h")).distinct()
+    wanted = materialize(entries.join(hashes, "h", "left_semi").select("e", "h", "first.uid", "first.line"), "line-wanted")
+    body = materialize(line_texts(rows, wanted.select("e", "uid", "line")), "line-texts")
+    name = lambda h, e: wanted.select(F.col("h").alias(h), F.col("e").alias(e))
+    named = pairs.distinct().join(name("a", "x"), "a").join(name("b", "y"), "b")
+    judged = materialize(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "line-pairs")
+    parts = materialize(connected_components(verified(judged, body)), "line-parts")
+    rest = materialize(rest.join(name("h", "e"), "h").select("key", "e", "fp", "m"), "line-rest")
+    for nearest in (True, False):
+        more = materialize(met_groups(rest, parts, nearest).join(judged, ["a", "b"], "left_anti"), "line-pairs")
+        edges = verified(more, body)
+        parts = parts if edges.isEmpty() else joined_groups(parts, edges)
+        judged = judged.union(more)
+    return parts
 
 
 def removed_lines(rows: DataFrame) -> DataFrame:
@@ -463,8 +620,7 @@ def removed_lines(rows: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid", "line")).alias("first")
     entries = lines.groupBy("h", "g").agg(F.count("*").alias("n"), first)
     entries = materialize(entries.withColumn("e", F.monotonically_increasing_id()), "line-entries")
-    groups = connected_components(links(lines, entries, rows))
-    groups = groups.select(F.col("node").alias("e"), F.col("component").alias("group"))
+    groups = linked(lines, entries, rows).select(F.col("node").alias("e"), F.col("component").alias("group"))
     named = entries.join(groups, "e", "left").where("n > 1 or group is not null").withColumn("group", F.coalesce("group", "e"))
     kept = named.groupBy("group").agg(F.min("first").alias("keep"))
     where = materialize(named.select("h", "g", "group").join(kept, "group").select("h", "g", "keep.uid", "keep.line"), "line-kept")

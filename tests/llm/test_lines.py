@@ -143,6 +143,43 @@ def removed(spark, docs):
     return [(r.doc_id, r.n_lines, r.n_removed, r.text) for r in got]
 
 
+def all_links(lines):
+    """The links among all pairs of lines that share a key, with no order or grouping of the module's."""
+    prints, at, key = L.signatures(*buffer(lines))
+    sharing = {}
+    for i, k in zip(at.tolist(), key.tolist()):
+        sharing.setdefault(k, set()).add(i)
+    pairs = {(i, j) for x in sharing.values() for i in x for j in x if i < j and (int(prints[i]) ^ int(prints[j])).bit_count() <= L.RADIUS}
+    return [(lines[i], lines[j]) for i, j in pairs if L.alike([lines[i]], [lines[j]])[0] and plain_similar(lines[i], lines[j])]
+
+
+def test_all_lines_of_a_crowded_key_meet(spark):
+    """Few words make all lines, so that each key has very many; groups are those of all pairs."""
+    rng = np.random.default_rng(3)
+    long = ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(7)]
+    short = ["".join(rng.choice(list("klmnopqr"), 9)) for _ in range(25)]
+    lines = sorted({" ".join([long[k] for k in sorted(rng.choice(7, 5, replace=False))] + [short[k] for k in rng.integers(25, size=2)]) for _ in range(350)})
+    group = grouped([x.encode() for x in lines], all_links([x.encode() for x in lines]))
+    size = {g: list(group.values()).count(g) for g in group.values()}
+    assert max(size.values()) < len(lines) and sum(size.values()) - len(size) > 20
+    gone = sum(x[2] for x in removed(spark, list(enumerate(lines))))
+    assert gone == len(lines) - len(size)
+
+
+def test_comparisons_of_a_large_key_are_dealt_in_squares(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**63), 2**63, 6, dtype=np.int64)
+    fp = [int(base[k % 6]) ^ sum(1 << int(b) for b in rng.choice(62, 9, replace=False)) for k in range(90)]
+    group = [k % 6 if k % 4 == 0 else 1000 + k for k in range(90)]
+    rest = spark.createDataFrame([(7, k, fp[k], 90) for k in range(90)], "key long, e long, fp long, m long")
+    parts = spark.createDataFrame(list(enumerate(group)), "node long, component long")
+    monkeypatch.setattr(L, "TILE", 8)
+    near = {(i, j) for i in range(90) for j in range(i + 1, 90) if group[i] != group[j] and ((fp[i] ^ fp[j]) & (2**64 - 1)).bit_count() <= L.RADIUS}
+    assert {tuple(r) for r in L.met_groups(rest, parts, False).collect()} == near and len(near) > 100
+    some = {tuple(r) for r in L.met_groups(rest, parts, True).collect()}
+    assert some <= near and {(i, group[j]) for i, j in near} | {(j, group[i]) for i, j in near} == {(i, group[j]) for i, j in some} | {(j, group[i]) for i, j in some}
+
+
 @pytest.mark.parametrize("split", [False, True])
 def test_planted(spark, split):
     """Also with one partition for each bit of the sort, whose edges lie between tasks."""
