@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near copies: 5-word shingles, Jaccard similarity 0.8 or more."""
+    """Keep the first document of each group of near copies: SimHash of 5-word shingles, then pairs that it leaves apart; Jaccard similarity 0.8 or more."""
     return simhash.keep_one(docs)
 
 

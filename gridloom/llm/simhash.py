@@ -12,7 +12,9 @@ two fingerprints within 2 bits have one in common that is at most 1 bit from eit
 each member's 65 such neighbours, tied to the group's least, has the same components. Work is thus
 in proportion to the number of fingerprints however dense they lie.
 
-``keep_one`` has no fingerprints: it links texts by an exact join on the Jaccard similarity of their shingles.
+``keep_one`` takes the same fingerprints, of longer shingles, and links the pairs that they bring together if the Jaccard
+similarity of the shingles is 0.8 or more. Fingerprints of such texts may differ in more bits than blocks and pivots can
+find (about ten at 0.8), so an exact join on shingles then compares texts that the fingerprints left in different groups.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like any
 other; a null doc_id takes part and never names a component unless it has no other; repeated rows come out
@@ -46,23 +48,30 @@ def references(n: int = PIVOTS) -> list[int]:
     return [int(x) for x in np.random.default_rng(64).integers(-(2**63), 2**63, n, dtype=np.int64)]
 
 
-def fingerprint(data: bytes, k: int = SHINGLE, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of one UTF-8 text: majority bits of the XXH64 of its k-word shingles."""
+def shingle_hashes(data: bytes, k: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 of a text's k-word shingles, repeats included; a shorter text is one shingle, one without words has none."""
     from xxhash import xxh64_intdigest
 
     words = data.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
     if len(words) <= k:
-        return int(np.uint64(xxh64_intdigest(joined, seed)).astype(np.int64))
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = [0, *(ends[: -k] + 1).tolist()]
-    hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist())], ">u8")
+        return np.array([xxh64_intdigest(b" ".join(words), seed)] if words else [], np.uint64)
+    joined = b" ".join(words)
+    ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
+    starts = [0, *[e + 1 for e in ends[:-k]]]
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :])], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed 64-bit integer."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
-        ones += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.uint64).astype(np.int64))
+        ones += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(data: bytes, k: int = SHINGLE, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of one UTF-8 text: majority bits of the XXH64 of its k-word shingles."""
+    return majority(shingle_hashes(data, k, seed))
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", k: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
@@ -135,16 +144,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def shingles(data: bytes, k: int) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's k-word shingles, in order; a shorter text is one shingle, one without words has none."""
-    from xxhash import xxh64_intdigest
-
-    words = data.lower().split()
-    if len(words) <= k:
-        return np.array([xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
-    joined = b" ".join(words)
-    ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
-    starts = [0, *[e + 1 for e in ends[:-k]]]
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :])], np.uint64))
+    """The distinct hashes of a text's k-word shingles, in order."""
+    return np.unique(shingle_hashes(data, k))
 
 
 def jaccard_least(a: np.ndarray, b: np.ndarray) -> bool:
@@ -169,7 +170,7 @@ def _common(rows: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, k: int) -> DataFrame:
-    """_hid, _huid, _hset (a hash of the set of shingles), _hn (its size), _hkeys, the set's prefix, and _hbits, its parity.
+    """_hid, _huid, _hset (a hash of the set of shingles), _hn (its size), _hkeys, the set's prefix, _hbits, its parity, and _hfp, the text's fingerprint.
 
     In one order of all shingles (common ones last, then by hash), sets with a Jaccard similarity of 0.8 or more share
     one of their first n - ceil(0.8 n) + 1 shingles.
@@ -181,18 +182,20 @@ def _prefixes(rows: DataFrame, k: int) -> DataFrame:
     def batches(it):
         table = np.frombuffer(shared.value, np.uint8)
         for batch in it:
-            name, n, keys, bits = [], [], [], []
+            name, n, keys, bits, prints = [], [], [], [], []
             for x in batch.column("_ht").to_pylist():
-                s = shingles(x or b"", k)
+                every = shingle_hashes(x or b"", k)
+                prints.append(majority(every))
+                s = np.unique(every)
                 late = passes(table, s)
                 name.append(int(np.uint64(xxh64_intdigest(s.tobytes(), 1)).astype(np.int64)))
                 n.append(len(s))
                 bits.append(parity(s))
                 keys.append(np.r_[s[~late], s[late]][: len(s) - -(-4 * len(s) // 5) + 1].view(np.int64))
-            out = [batch.column("_hid"), batch.column("_huid"), pa.array(name, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=["_hid", "_huid", "_hset", "_hn", "_hkeys", "_hbits"])
+            out = [batch.column("_hid"), batch.column("_huid"), pa.array(name, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, names=["_hid", "_huid", "_hset", "_hn", "_hkeys", "_hbits", "_hfp"])
 
-    return rows.mapInArrow(batches, rows.select("_hid", "_huid").withColumns({"_hset": F.lit(0).cast("long"), "_hn": F.lit(0).cast("long"), "_hkeys": F.array().cast("array<long>"), "_hbits": F.lit(b"")}).schema)
+    return rows.mapInArrow(batches, rows.select("_hid", "_huid").withColumns({"_hset": F.lit(0).cast("long"), "_hn": F.lit(0).cast("long"), "_hkeys": F.array().cast("array<long>"), "_hbits": F.lit(b""), "_hfp": F.lit(0).cast("long")}).schema)
 
 
 def parity(hashes: np.ndarray) -> bytes:
@@ -278,12 +281,27 @@ def _shared_keys(entries: DataFrame) -> DataFrame:
     return entries.select("_hset", "_hn", "_hkeys").mapInArrow(batches, "_hset long, _hn long, key long")
 
 
+def fingerprint_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints are equal or linked by ``links``, in pairs of the least set of each fingerprint and with it."""
+    prints = entries.select("_hset", F.col("_hfp").alias("fp"))
+    least = materialize(prints.groupBy("fp").agg(F.min("_hset").alias("least"), F.count("*").alias("sets")), "simhash-distinct")
+    equal = prints.join(least.where("sets > 1"), "fp").where("_hset <> least").select(F.col("least").alias("a"), F.col("_hset").alias("b"))
+    of = lambda fp, name: least.select(F.col("fp").alias(fp), F.col("least").alias(name))
+    near = links(least.select("fp")).toDF("p", "q").join(of("p", "x"), "p").join(of("q", "y"), "q")
+    return equal.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
 def shingle_links(rows: DataFrame, entries: DataFrame, k: int, most: int = 2) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of sets with a Jaccard similarity of 0.8 or more.
 
-    Sets that share a key of few meet in pairs. Those of a key of many are held against the least of them; only sets
+    Sets that fingerprints bring together are verified first; the rest is for sets that these links leave in different
+    components. Sets that share a key of few meet in pairs. Those of a key of many are held against the least of them; only sets
     that are in another component then meet the sets of the key outside their own component.
     """
+    first = materialize(fingerprint_pairs(entries), "simhash-pairs")
+    near = _verified(first, rows, entries, k)
+    group = materialize(connected_components(near), "simhash-groups")
+    member = lambda c: group.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     keys = _shared_keys(entries)
     sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("_hset").alias("hub")).where("m > 1")
     shared = materialize(keys.join(sizes, "key"), "shingle-shared")
@@ -291,8 +309,10 @@ def shingle_links(rows: DataFrame, entries: DataFrame, k: int, most: int = 2) ->
     a, b = few.select("key", F.col("_hset").alias("a"), F.col("_hn").alias("p")), few.select("key", F.col("_hset").alias("b"), F.col("_hn").alias("q"))
     sized = lambda p, q: 5 * F.least(p, q) >= 4 * F.greatest(p, q)
     pairs = a.join(b, "key").where("a < b").where(sized(F.col("p"), F.col("q"))).select("a", "b")
-    pairs = materialize(pairs.union(dense.where("hub <> _hset").select(F.col("hub").alias("a"), F.col("_hset").alias("b"))).distinct(), "shingle-pairs")
-    found = _verified(pairs, rows, entries, k)
+    pairs = pairs.union(dense.where("hub <> _hset").select(F.col("hub").alias("a"), F.col("_hset").alias("b"))).distinct()
+    pairs = pairs.join(first, ["a", "b"], "left_anti").join(member("a"), "a", "left").join(member("b"), "b", "left")
+    pairs = materialize(pairs.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b"), "shingle-pairs")
+    found = near.union(_verified(pairs, rows, entries, k))
     part = materialize(connected_components(found), "shingle-parts")
     of = lambda column, to: part.select(F.col("node").alias(column), F.col("component").alias(to))
     dense = dense.join(of("_hset", "mine"), "_hset", "left").join(of("hub", "main"), "hub", "left")
@@ -300,14 +320,15 @@ def shingle_links(rows: DataFrame, entries: DataFrame, k: int, most: int = 2) ->
     out = dense.where("mine <> main").select("key", F.col("_hset").alias("a"), F.col("_hn").alias("p"), F.col("mine").alias("of_a"))
     rest = out.join(dense.select("key", F.col("_hset").alias("b"), F.col("_hn").alias("q"), F.col("mine").alias("of_b")), "key")
     rest = rest.where("of_a <> of_b").where(sized(F.col("p"), F.col("q"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "shingle-rest")
+    rest = materialize(rest.join(pairs.union(first), ["a", "b"], "left_anti"), "shingle-rest")
     return found.union(_verified(rest, rows, entries, k))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5) -> DataFrame:
     """The rows of ``docs`` without those whose group has a row before them by doc_id (repeated ids: by place).
 
-    Groups are linked by pairs whose k-word shingles have a Jaccard similarity of 0.8 or more; texts without words are alike.
+    Groups are linked by pairs whose k-word shingles have a Jaccard similarity of 0.8 or more, by fingerprints first and
+    an exact join for what these leave apart; texts without words are alike.
     """
     small_batches(docs.sparkSession)
     rows = numbered(docs, "_huid")
@@ -316,7 +337,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int
         prints = materialize(_prefixes(bodies, k), "shingle-prints")
         first = F.min(F.struct(F.col("_hid").isNull(), "_hid", "_huid"))
         best = materialize(prints.groupBy("_hset").agg(first.alias("_hbest")), "shingle-best")
-        entries = prints.join(best.select(F.col("_hbest._huid").alias("_huid")), "_huid", "left_semi").select("_hset", "_huid", "_hn", "_hkeys", "_hbits")
+        entries = prints.join(best.select(F.col("_hbest._huid").alias("_huid")), "_huid", "left_semi").select("_hset", "_huid", "_hn", "_hkeys", "_hbits", "_hfp")
         linked = connected_components(shingle_links(bodies.select("_huid", "_ht"), materialize(entries, "shingle-entries"), k))
         linked = linked.select(F.col("node").alias("_hset"), F.col("component").alias("_hgroup"))
         kept = best.join(linked, "_hset", "left").groupBy(F.coalesce("_hgroup", "_hset")).agg(F.min("_hbest").alias("_hbest"))

@@ -129,3 +129,26 @@ def test_keep_one_against_plain_jaccard(spark, monkeypatch, most):
     docs = [(order[i], t) for i, t in docs]
     got = {r.doc_id for r in S.keep_one(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()}
     assert got == brute_first(docs) and len(docs) - len(got) > 25
+
+
+def test_near_dedup_links_by_fingerprints_first(spark, monkeypatch):
+    """Near copies of 400 words meet by fingerprints; a pair at 0.8 whose fingerprints are far apart meets by shingles; the result has both."""
+    rng = np.random.default_rng(21)
+    word = lambda n: ["w%d" % x for x in rng.integers(10**6, size=n)]
+    base = [word(400) for _ in range(12)]
+    texts = [" ".join(x) for x in base] + [" ".join([*x[:-1], "other"]) for x in base]
+    far = word(400)
+    texts += [" ".join(far), " ".join([*far[:357], *word(43)])]
+    assert ((S.fingerprint(texts[-1].encode(), 5) ^ S.fingerprint(texts[-2].encode(), 5)) & (2**64 - 1)).bit_count() > S.RADIUS
+    close = [k for k in range(12) if ((S.fingerprint(texts[k].encode(), 5) ^ S.fingerprint(texts[12 + k].encode(), 5)) & (2**64 - 1)).bit_count() <= S.RADIUS]
+    seen, plain = [], S.fingerprint_pairs
+
+    def watched(entries):
+        seen.append((plain(entries).count(), entries.select("_hfp").distinct().count()))
+        return plain(entries)
+
+    monkeypatch.setattr(S, "fingerprint_pairs", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == [*range(12), 24]
+    distinct = len({S.fingerprint(t.encode(), 5) for t in texts})
+    assert len(close) >= 4 and len(seen) == 1 and seen[0][0] >= len(close) and seen[0][1] == distinct
