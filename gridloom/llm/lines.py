@@ -13,9 +13,11 @@ similarity (``SIMILARITY``), and verified pairs link lines to groups. Of each gr
 document id and place.
 
 Copies aren't expanded into all pairs, and yet the groups are those of all pairs: of a key's lines each meets a leader
-first; then lines that are still in different groups meet the nearest of each other group, then all that they haven't
-met. The keys travel in arrays, dealt by their first bits. A key's lines pass through one task with 24 bytes each; the
-comparisons of a key of over ``TILE`` lines are dealt over tasks in squares.
+first; then the lines of keys that still hold several groups are laid out in squares with their texts, and all of a
+square's lines meet in one task. It verifies those in different groups, the nearest first, joins the groups that a link
+unites, and gives out these links only: fewer than the square has lines, however many pairs are near. Two lines meet in
+the first square's key that they share. The keys travel in arrays, dealt by their first bits. A key's lines pass
+through one task with 24 bytes each; a square has up to twice ``TILE`` lines and ``_CHARS`` characters, or two lines.
 
 Edits near the limit that touch every block leave no candidate; README has measured recall. Defined results:
 null and empty texts have one line without a word, which stays; a line of any length is compared whole; characters
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from itertools import combinations, pairwise
+from itertools import combinations, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,8 @@ _SEEN = 1 << 20
 TILE = 2048
 #: Leaders of a key of more lines; others wait until those of other groups meet.
 _LEADERS = 64
+#: Characters of a key's lines in one side of a square, about.
+_CHARS = 1 << 24
 #: Lines of each other group that a line meets before it meets all of them.
 _NEAREST = 3
 #: Keys that a task holds before it deals them, and keys of a bucket, about.
@@ -402,18 +406,86 @@ def met(it, nearest: bool):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
 
 
+def in_groups(rest: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rest`` with the group of each e: its component in ``parts`` (node, component), or itself."""
+    return rest.join(parts.select(F.col("node").alias("e"), F.col("component").alias("group")), "e", "left").withColumn("group", F.coalesce("group", "e"))
+
+
+def squares(rows: DataFrame, sides, *columns: str) -> DataFrame:
+    """Rows (key, e and ``columns``) dealt into the squares (key, i, j) of as many parts of a key as ``sides``, in order; in each, part is the row's own."""
+    tiles = rows.withColumn("part", F.pmod(F.xxhash64("e"), sides)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
+    tiles = tiles.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "e", *columns)
+    return tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def met_groups(rest: DataFrame, parts: DataFrame, nearest: bool) -> DataFrame:
-    """(a, b): candidates among rows (key, e, fp, m) that are in different groups of ``parts`` (node, component)."""
-    grouped = rest.join(parts.select(F.col("node").alias("e"), F.col("component").alias("group")), "e", "left").withColumn("group", F.coalesce("group", "e"))
-    squares = F.ceil(F.col("m") / TILE)
-    tiles = grouped.withColumn("part", F.pmod(F.xxhash64("e"), squares)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), squares - 1)))
-    tiles = tiles.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "e", "fp", "part", "group")
-    tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    """(a, b): candidates among rows (key, e, fp, m) that are in different groups of ``parts`` (node, component), pair by pair: what ``met_links`` unites."""
+    tiles = squares(in_groups(rest, parts), F.ceil(F.col("m") / TILE), "fp", "group")
     return tiles.mapInArrow(lambda it: met(it, nearest), "a long, b long").distinct()
 
 
+def _shared(keys: pa.Array, key: int) -> np.ndarray:
+    """For each list of keys, a row of bits for those below ``key`` that several lists have."""
+    size = np.diff(keys.offsets.to_numpy())
+    line, every = np.repeat(np.arange(len(size)), size), keys.flatten().to_numpy()
+    line, every = line[every < key], every[every < key]
+    _, at, counts = np.unique(every, return_inverse=True, return_counts=True)
+    column = (np.cumsum(counts > 1) - 1)[at]
+    bits = np.zeros((len(size), -(-int((counts > 1).sum()) // 64) * 64), bool)
+    bits[line[counts[at] > 1], column[counts[at] > 1]] = True
+    return np.packbits(bits, axis=1).view(U)
+
+
+def square_links(it):
+    """From rows of squares (key, i, j, part, e, fp, more, chars, group, keys, body): verified pairs (a, b) that unite the groups which all of a square's would."""
+    for pieces in runs(it, "key", "i", "j"):
+        table = pa.Table.from_batches(pieces).combine_chunks()
+        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        part, e, fp, more, chars, group = (table.column(c).to_numpy() for c in ("part", "e", "fp", "more", "chars", "group"))
+        if (group == group[0]).all():
+            continue
+        body, earlier = table.column("body").to_pylist(), _shared(table.column("keys").chunk(0), key)
+        fp, more, place, links = fp.view(U), more.view(U), np.arange(len(e)), []
+        for at in range(0, len(e), 512):
+            rows = slice(at, at + 512)
+            bits = np.bitwise_count(fp[rows, None] ^ fp[None, :])
+            ok = (bits <= RADIUS) & (group[rows, None] != group[None, :]) & (place[rows, None] < place[None, :])
+            if i != j:
+                ok &= part[rows, None] != part[None, :]
+            p, q = np.nonzero(ok)
+            bits, p = bits[p, q], p + at
+            bits = bits + np.bitwise_count(more[p] ^ more[q])
+            good = (bits <= 2 * RADIUS) & (abs(chars[p] - chars[q]) <= (1 - SIMILARITY) * np.maximum(chars[p], chars[q]) + 1e-9)
+            order = np.flatnonzero(good)[np.argsort(bits[good], kind="stable")]
+            for cut in range(0, len(order), 4096):
+                x, y = p[order[cut : cut + 4096]], q[order[cut : cut + 4096]]
+                todo = (group[x] != group[y]) & ~(earlier[x] & earlier[y]).any(1)
+                for a, b in zip(x[todo].tolist(), y[todo].tolist()):
+                    if group[a] != group[b] and similar(body[a], body[b]):
+                        group = np.where(group == group[b], group[a], group)
+                        links.append((e[a], e[b]))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*links)], names=["a", "b"])
+
+
+def met_links(rest: DataFrame, parts: DataFrame, body: DataFrame) -> DataFrame:
+    """(a, b): verified pairs of rows (key, e, fp) that unite the groups of ``parts`` (node, component) which all would; ``body`` is that of ``line_texts``."""
+    spark = rest.sparkSession
+    sized = in_groups(rest.select("key", "e", "fp"), parts).join(body.select("e", "more", "chars"), "e")
+    sized = materialize(sized, "line-rest")
+    many = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("chars") / _CHARS)).alias("sides")
+    several = sized.groupBy("key").agg(many, F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key", "sides")
+    sized = materialize(sized.join(several, "key"), "line-rest")
+    keys = sized.groupBy("e").agg(F.collect_list("key").alias("keys"))
+    tiles = squares(sized.join(keys.join(body.select("e", "body"), "e"), "e"), F.col("sides"), "fp", "more", "chars", "group", "keys", "body")
+    small_batches(spark, 1024)
+    links = materialize(tiles.mapInArrow(square_links, "a long, b long"), "line-links")
+    small_batches(spark)
+    return links
+
+
 def line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(e, body) of the normalised lines in ``wanted`` (e, uid, line), from rows of (uid, text).
+    """(e, body, fp, more, chars) of the normalised lines in ``wanted`` (e, uid, line), from rows of (uid, text): text, 128-bit SimHash and code points.
 
     A bitmap of the places that are wanted goes to the executors, so that other lines aren't shuffled.
     """
@@ -437,10 +509,21 @@ def line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                     continue
                 parts = {i: data[i].split(b"\n") for i in set(doc[at].tolist())}
                 buf = normalise([parts[i][j] for i, j in zip(doc[at].tolist(), line[at].tolist())])
-                yield pa.RecordBatch.from_arrays([pa.array(uid[doc[at]]), pa.array(line[at]), pa.array(buf.tobytes()[1:-1].split(b"\n"), pa.binary())], names=["uid", "line", "body"])
+                newline = np.flatnonzero(buf == 10)
+                start, end = newline[:-1] + 1, newline[1:]
+                real = np.flatnonzero(end > start)
+                if not len(real):
+                    continue
+                at, start, end = at[real], start[real], end[real]
+                h, _, n = line_words(buf, start, end)
+                first = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)]
+                whole = buf.tobytes()
+                columns = [uid[doc[at]], line[at], prints_of(h, n, 1).view(np.int64), prints_of(h, n, 2).view(np.int64), first[end] - first[start]]
+                columns = [*map(pa.array, columns), pa.array([whole[p:q] for p, q in zip(start.tolist(), end.tolist())], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "line", "fp", "more", "chars", "body"])
 
-    found = rows.select("uid", "text").mapInArrow(batches, "uid long, line long, body binary")
-    return found.join(wanted, ["uid", "line"]).select("e", "body")
+    found = rows.select("uid", "text").mapInArrow(batches, "uid long, line long, fp long, more long, chars long, body binary")
+    return found.join(wanted, ["uid", "line"]).select("e", "body", "fp", "more", "chars")
 
 
 def _marks(uid: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -482,22 +565,16 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     n, m = len(a), len(b)
-    full, top = (1 << n) - 1, 1 << (n - 1)
+    full = (1 << n) - 1
     look, step = max(_LOOK, m // 16), max(_STEP, most // 8)
-    up, down, score = full, 0, n
-    for j, c in enumerate(b, 1):
-        eq = at.get(c, 0)
-        x = eq | down
-        diag = (((eq & up) + up) ^ up) | eq
-        right_up, right_down = down | ~(diag | up) & full, up & diag
-        if right_up & top:
-            score += 1
-        if right_down & top:
-            score -= 1
-        right_up = right_up << 1 | 1
-        up = (right_down << 1 | ~(x | right_up)) & full
-        down = right_up & x & full
-        if j % look == 0 and j < m:
+    up, down = full, 0
+    for cut in range(0, m, look):
+        for eq in map(at.get, b[cut : cut + look], repeat(0)):
+            diag = ((eq & up) + up ^ up) | eq | down
+            right_up = (down | full & ~(diag | up)) << 1 | 1
+            down, up = right_up & diag, ((up & diag) << 1 | ~(diag | right_up)) & full
+        j = min(cut + look, m)
+        if j < m:
             best = most + 1
             for i in range(max(0, j - most), min(n, j + most) + step, step):
                 i = min(i, n)
@@ -506,7 +583,7 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
                 best = min(best, cell + abs((n - i) - (m - j)) - step)
             if best > most:
                 return most + 1
-    return score
+    return m + up.bit_count() - (down & full).bit_count()
 
 
 def distance_bound(x: list[str], y: list[str], most: int = -1) -> int:
@@ -571,15 +648,18 @@ def alike(x: list[bytes], y: list[bytes]) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, body: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines in ``body`` (e, body) are alike and similar."""
+    """The pairs (a, b) whose lines in ``body`` (as of ``line_texts``) are alike and similar; only those alike and near in length go to Python."""
 
     def verify(it):
         for batch in it:
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            good = [bool(near) and similar(p, q) for near, p, q in zip(alike(x, y), x, y)] if x else []
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array([similar(p, q) for p, q in zip(x, y)], pa.bool_()))
 
-    both = pairs.join(body.toDF("a", "x"), "a").join(body.toDF("b", "y"), "b")
+    side = lambda e, x: body.select(F.col("e").alias(e), F.col("body").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "more", "chars")])
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    first, second = (F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ("fp", "more"))
+    most = (1 - SIMILARITY) * F.greatest("x_chars", "y_chars") + 1e-9
+    both = both.where((first <= RADIUS) & (first + second <= 2 * RADIUS) & (F.abs(F.col("x_chars") - F.col("y_chars")) <= most))
     return materialize(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "line-links")
 
 
@@ -602,15 +682,9 @@ def linked(lines: DataFrame, entries: DataFrame, rows: DataFrame) -> DataFrame:
     body = materialize(line_texts(rows, wanted.select("e", "uid", "line")), "line-texts")
     name = lambda h, e: wanted.select(F.col("h").alias(h), F.col("e").alias(e))
     named = pairs.distinct().join(name("a", "x"), "a").join(name("b", "y"), "b")
-    judged = materialize(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "line-pairs")
-    parts = materialize(connected_components(verified(judged, body)), "line-parts")
-    rest = materialize(rest.join(name("h", "e"), "h").select("key", "e", "fp", "m"), "line-rest")
-    for nearest in (True, False):
-        more = materialize(met_groups(rest, parts, nearest).join(judged, ["a", "b"], "left_anti"), "line-pairs")
-        edges = verified(more, body)
-        parts = parts if edges.isEmpty() else joined_groups(parts, edges)
-        judged = judged.union(more)
-    return parts
+    parts = materialize(connected_components(verified(named.select(F.col("x").alias("a"), F.col("y").alias("b")), body)), "line-parts")
+    edges = met_links(rest.join(name("h", "e"), "h"), parts, body)
+    return parts if edges.isEmpty() else joined_groups(parts, edges)
 
 
 def removed_lines(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -180,6 +181,27 @@ def test_comparisons_of_a_large_key_are_dealt_in_squares(spark, monkeypatch):
     assert some <= near and {(i, group[j]) for i, j in near} | {(j, group[i]) for i, j in near} == {(i, group[j]) for i, j in some} | {(j, group[i]) for i, j in some}
 
 
+def test_a_square_gives_out_fewer_links_than_it_has_lines():
+    """All lines of a square are near by SimHash, few are similar: links unite the groups of all pairs, and no row is made for the others."""
+    rng = np.random.default_rng(9)
+    base = ["".join(rng.choice(list("abcdefgh "), 60)) for _ in range(40)]
+    lines = [(x[:7] + "z" * int(k) + x[7:]).encode() for x in base for k in range(3)]
+    n = len(lines)
+    fixed = {"key": 7, "i": 0, "j": 0, "part": 0, "fp": 5, "more": 9}
+    columns = {c: pa.array(np.full(n, v)) for c, v in fixed.items()} | {"e": pa.array(range(n)), "chars": pa.array([len(x) for x in lines]), "group": pa.array(range(n)), "body": pa.array(lines)}
+
+    def links(keys):
+        batch = pa.RecordBatch.from_pydict(columns | {"keys": pa.array(keys)})
+        return [p for x in L.square_links(iter([batch.slice(0, 50), batch.slice(50)])) for p in zip(x.column("a").to_pylist(), x.column("b").to_pylist())]
+
+    got = grouped(range(n), links([[7, 8]] * n))
+    want = grouped(range(n), [(a, b) for a in range(n) for b in range(a) if plain_similar(lines[a], lines[b])])
+    assert [[got[a] == got[b] for b in range(n)] for a in range(n)] == [[want[a] == want[b] for b in range(n)] for a in range(n)]
+    assert len(links([[7, 8]] * n)) == n - len(set(want.values())) >= 80
+    assert links([[7, 3]] * n) == []  # they met in square 3
+    assert len(links([[7, 3] if k % 3 == 0 else [7] for k in range(n)])) == 80  # of each three, two pairs meet here only
+
+
 @pytest.mark.parametrize("split", [False, True])
 def test_planted(spark, split):
     """Also with one partition for each bit of the sort, whose edges lie between tasks."""
