@@ -204,30 +204,35 @@ def edges(rings) -> Column:
     return F.flatten(F.transform(col(rings), side))
 
 
+def crossing(s, y) -> tuple[Column, Column]:
+    """Whether a side crosses the row at y, and at which x."""
+    p, q = s["p"], s["q"]
+    return (p["y"] > y) != (q["y"] > y), p["x"] + F.try_divide((y - p["y"]) * (q["x"] - p["x"]), q["y"] - p["y"])
+
+
 def inside(sides, x, y) -> Column:
     """Even-odd test of a point against the sides of a polygon."""
     x, y = col(x), col(y)
 
     def crosses(s):
-        p, q = s["p"], s["q"]
-        at = p["x"] + F.try_divide((y - p["y"]) * (q["x"] - p["x"]), q["y"] - p["y"])
-        return F.coalesce(((p["y"] > y) != (q["y"] > y)) & (x < at), F.lit(False))
+        meets, at = crossing(s, y)
+        return F.coalesce(meets & (x < at), F.lit(False))
 
     return F.size(F.filter(col(sides), crosses)) % 2 == 1
 
 
-def distance(sides, x, y) -> Column:
-    """Distance from a point to the nearest side."""
-    x, y = col(x), col(y)
+def side_distance(s, x, y) -> Column:
+    """Distance from a point to a side."""
+    p, dx, dy = s["p"], s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]
+    t = F.try_divide((x - p["x"]) * dx + (y - p["y"]) * dy, dx * dx + dy * dy)
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(t, F.lit(0.0))))
+    ex, ey = x - p["x"] - t * dx, y - p["y"] - t * dy
+    return F.sqrt(ex * ex + ey * ey)
 
-    def to_side(s):
-        p, dx, dy = s["p"], s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]
-        t = F.try_divide((x - p["x"]) * dx + (y - p["y"]) * dy, dx * dx + dy * dy)
-        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(t, F.lit(0.0))))
-        ex, ey = x - p["x"] - t * dx, y - p["y"] - t * dy
-        return F.sqrt(ex * ex + ey * ey)
 
-    return F.array_min(F.transform(col(sides), to_side))
+def distance(sides, x, y) -> Column:
+    """Distance from a point to the nearest side."""
+    return F.array_min(F.transform(col(sides), lambda s: side_distance(s, col(x), col(y))))
 
 
 def boxed(polys: DataFrame, rings: str = "rings") -> DataFrame:
@@ -304,10 +309,75 @@ def tile_hits(polys: DataFrame, size: int, rows: int | None = None, cols: int |
     return hit
 
 
+#: Pixels this near the edge of a buffer are tested one by one, as the ends of its runs are rounded.
+SLACK = 1e-3
+
+
+def inner_runs(shapes: DataFrame, size: int) -> DataFrame:
+    """Runs of pixels of a row, px_row and _c0 to _c1, whose centres are inside a polygon (with _sides and its box)."""
+    top, y = F.col("_br") * size, F.col("px_row") + 0.5
+    near = F.filter("_sides", lambda s: (F.least(s["p"]["y"], s["q"]["y"]) <= top + size) & (F.greatest(s["p"]["y"], s["q"]["y"]) >= top))
+    rows = shapes.withColumn("_br", F.explode(F.sequence(F.floor(F.col("_y0") / size), F.floor(F.col("_y1") / size)))).withColumn("_sides", near)
+    rows = rows.withColumn("px_row", F.explode(F.sequence(F.greatest(top, F.floor("_y0")), F.least(top + size - 1, F.floor("_y1")))))
+    at = F.transform("_sides", lambda s: F.when(*crossing(s, y)))
+    # A crossing counts for the columns before the first whose centre isn't left of it, so runs lie between each odd one from the right and the next.
+    ends = F.transform(F.sort_array(F.array_compact(at), False), lambda x: F.floor(x) + (F.floor(x) + 0.5 < x).cast("int"))
+    # Outer, as Spark else works the array out once more to filter by its size.
+    rows = rows.withColumn("_ends", ends).select("px_row", "_x0", "_ends", F.posexplode_outer("_ends").alias("_i", "_end")).where("_i % 2 = 0")
+    runs = rows.select("px_row", F.coalesce(F.get("_ends", F.col("_i") + 1), F.floor("_x0")).alias("_c0"), (F.col("_end") - 1).alias("_c1"))
+    return runs.where("_c0 <= _c1")
+
+
+def margin_runs(shapes: DataFrame, within: float) -> DataFrame:
+    """Runs of pixels of a row, px_row and _c0 to _c1, whose centres are within a distance of a side.
+
+    A row meets the buffer of a side in one run. The pixels in a buffer smaller by ``SLACK`` are taken; those that only a
+    larger one holds are tested each. The columns come in steps, since each is used several times by the next.
+    """
+    far, c = within + SLACK, F.col
+    s = c("_s")
+    sides = shapes.select(F.explode_outer("_sides").alias("_s")).withColumns({"_x": s["p"]["x"], "_y": s["p"]["y"], "_dx": s["q"]["x"] - s["p"]["x"], "_dy": s["q"]["y"] - s["p"]["y"]})
+    sides = sides.where("_dx + _dy IS NOT NULL").withColumn("_lean", F.coalesce(F.try_divide(c("_dx") * F.signum("_dy"), F.sqrt(c("_dx") * c("_dx") + c("_dy") * c("_dy"))), F.lit(0.0)))
+    low, high = F.least(F.lit(0.0), "_dy") + c("_y"), F.greatest(F.lit(0.0), "_dy") + c("_y")
+    rows = sides.withColumn("px_row", F.explode(F.sequence(F.floor(low - far), F.floor(high + far)))).withColumn("_off", c("px_row") + 0.5 - c("_y"))
+
+    # Of all discs on the side, the one that reaches farthest left (-1) or right (1) in the row: its place, its height over the row, its end there.
+    ends = {f"{n}{i}": (r, hand) for n, r in (("m", far), ("c", within - SLACK)) for i, hand in ((0, -1), (1, 1))}
+    place = {n: F.coalesce(F.try_divide(c("_off") + hand * r * c("_lean"), c("_dy")), F.when(hand * c("_dx") > 0, 1.0).otherwise(0.0)) for n, (r, hand) in ends.items()}
+    rows = rows.withColumns({f"_t{n}": F.least(F.lit(1.0), F.greatest(F.lit(0.0), t)) for n, t in place.items()})
+    rows = rows.withColumns({f"_h{n}": c("_off") - c(f"_t{n}") * c("_dy") for n in ends})
+    reach = {n: F.when(F.abs(f"_h{n}") <= r, c("_x") + c(f"_t{n}") * c("_dx") + hand * F.sqrt(F.greatest(F.lit(0.0), r * r - c(f"_h{n}") * c(f"_h{n}")))) for n, (r, hand) in ends.items()}
+    rows = rows.withColumns({f"_{n}": (F.ceil if ends[n][1] < 0 else F.floor)(x - 0.5) for n, x in reach.items()})
+
+    sure = F.coalesce(c("_c0") <= c("_c1"), F.lit(False))
+    rows = rows.withColumns({"_c0": F.when(sure, F.greatest("_c0", "_m0")).otherwise(c("_m1") + 1), "_c1": F.when(sure, F.least("_c1", "_m1")).otherwise(c("_m1"))})
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    edge = F.concat(F.array(F.lit(None).cast("bigint")), span(c("_m0"), c("_c0") - 1), span(c("_c1") + 1, c("_m1")))
+    rows = rows.select("px_row", "_s", "_c0", "_c1", F.explode_outer(edge).alias("_e")).where(c("_e").isNull() | (side_distance(s, c("_e") + 0.5, c("px_row") + 0.5) <= within))
+    return rows.select("px_row", F.coalesce("_e", "_c0").alias("_c0"), F.coalesce("_e", "_c1").alias("_c1")).where("_c0 <= _c1")
+
+
+def burn(polys: DataFrame, within: float = 0.0, size: int = 32) -> DataFrame:
+    """The pixels inside a polygon or within a distance of it: one row for each px_row and _word of 64 columns, with their bits.
+
+    Polygons become runs of pixels, equal ones once, and runs the bits of words, which meet in one aggregation: work grows
+    with the rows that sides and polygons take up, not with pixels times polygons.
+    """
+    shapes = boxed(polys.select("rings").distinct())
+    runs = inner_runs(shapes, size)
+    if within > 0:
+        runs = runs.union(margin_runs(shapes, within))
+    words = runs.withColumn("_word", F.explode(F.sequence(F.shiftright("_c0", 6), F.shiftright("_c1", 6))))
+    bits = F.expr("shiftleft(-1L, cast(greatest(_c0 - _word * 64, 0) AS int)) & shiftrightunsigned(-1L, cast(greatest(_word * 64 + 63 - _c1, 0) AS int))")
+    return words.groupBy("px_row", "_word").agg(F.bit_or(bits).alias("_bits"))
+
+
 def erase_buffer(px: DataFrame, polys: DataFrame, within: float, value: str, size: int = 32) -> DataFrame:
-    """NULL at the pixels inside a polygon or within a distance of it."""
-    hits = join_polygons(px.select("px_row", "px_col"), polys, [], size, within).distinct().withColumn("_hit", F.lit(True))
-    return px.join(hits, ["px_row", "px_col"], "left").withColumn(value, F.when(F.col("_hit").isNull(), F.col(value))).drop("_hit")
+    """NULL at the pixels inside a polygon or within a distance of it. Pixels meet the burned mask in one equi-join."""
+    at = F.col("px_col").cast("bigint")
+    marked = px.withColumn("_word", F.shiftright(at, 6)).join(burn(polys, within, size), ["px_row", "_word"], "left")
+    hit = F.coalesce(F.getbit("_bits", at.bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
+    return marked.withColumn(value, F.when(~hit, F.col(value))).select(*px.columns)
 
 
 def clip_by_key(px: DataFrame, polys: DataFrame, key: str, size: int = 32) -> DataFrame:

@@ -81,3 +81,36 @@ def test_clip_meets_no_sides_inside(spark):
     assert got == want and want
     inner = G.classed_blocks(as_rows(spark, some), SIDE).where("_sides IS NULL").count()
     assert inner > 0
+
+
+def gap(rings, x, y):
+    """Distance from a point to the nearest side."""
+    def to(a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        n = dx * dx + dy * dy
+        t = min(1, max(0, ((x - a[0]) * dx + (y - a[1]) * dy) / n)) if n else 0
+        return math.hypot(x - a[0] - t * dx, y - a[1] - t * dy)
+
+    return min((to(a, b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])), default=math.inf)
+
+
+def test_erase_by_burned_runs(spark):
+    """Erased are the pixels inside or within the distance, those just at it included; of snapped, flat and empty shapes too."""
+    flat = [(50, [[(3.0, 50.0), (20.0, 50.0)]]), (51, [[(40.0, 3.0), (40.0, 9.0)]]), (52, [[(50.0, 50.0), (60.0, 50.0 + 1e-12), (60.0, 56.0), (50.0, 56.0 - 1e-9)]]), (53, [[(70.5, 20.5), (75.5, 20.5), (75.5, 25.5)]]), (54, [[]])]
+    px = spark.range(90 * 90).selectExpr("id div 90 - 10 AS px_row", "id % 90 - 10 AS px_col", "id * 1.0D AS b1")
+    some = shapes()[:6] + shapes()[40:] + flat
+    for within in (0.0, 0.5, 2.5, 6.0):
+        rows = G.erase_buffer(px, as_rows(spark, some), within, "b1").collect()
+        got = {(r.px_row, r.px_col) for r in rows if r.b1 is None}
+        want = {(i, j) for i in range(-10, 80) for j in range(-10, 80) if any(holds(g, j + 0.5, i + 0.5) or 0 < within >= gap(g, j + 0.5, i + 0.5) for _, g in some)}
+        assert len(rows) == 8100 and got == want, within
+
+
+def test_erase_meets_no_polygon_by_pixel(spark, tmp_path):
+    """Pixels are read once and meet one mask, whose rows don't grow with the polygons over them."""
+    spark.range(64 * 64).selectExpr("id div 64 AS px_row", "id % 64 AS px_col", "id * 1.0D AS b1").write.parquet(str(tmp_path / "px"))
+    px = spark.read.parquet(str(tmp_path / "px"))
+    piled = [(i, [[(10.0, 10.0), (40.0 + i / 100, 10.0), (10.0, 40.0)]]) for i in range(300)]
+    plan = G.erase_buffer(px, as_rows(spark, piled), 2.0, "b1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Relation [") == 1
+    assert G.burn(as_rows(spark, piled), 2.0).count() == G.burn(as_rows(spark, piled[-1:]), 2.0).count()
